@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import mixing, packing, quality_classifier, quality_rules
+from graphloom.llm import mixing, ngram_join, packing, quality_classifier, quality_rules
 from graphloom.llm.queries import RANKS, TOKENIZER, crc_of_id, prepare, table
 
 
@@ -23,6 +23,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the smallest id."""
+    prepare(spark)
+    return ngram_join.keep_one(docs, n=5, percent=80)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them."""
     prepare(spark)
@@ -36,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("quality classifier", classify), ("quality rules", rules), ("mixing", mix), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("quality classifier", classify), ("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("packing", pack)]
 
 #: Training, certified cutoffs and the packer's state have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
