@@ -11,10 +11,10 @@ the node also takes the signatures of its empty pairs); so nothing is lost.
 
 Signatures meet packed by hash; those of one node alone go. In a bucket, a pair can link only if
 its sizes and a parity bitmap (whose differing bits never exceed the differing elements) allow it.
-Round 1 takes a spanning forest of the possible links of each bucket and verifies it on the whole
-sets; round 2 verifies every possible link between members that are still in different classes.
-After it each possible link was tested or lies within a class: the classes are exact, and no
-bucket is ever spelled out in pairs.
+Each bucket gives a spanning forest of its possible links. Of these, one for each node is verified
+on the whole sets, then those whose ends are still in different classes, and last every possible
+link of a bucket between members of different classes. After that each possible link was tested or
+lies within a class: the classes are exact, and no bucket is ever spelled out in pairs.
 
 Texts without words and null texts have the empty set, which links with nothing. Texts with fewer
 than n words are one shingle. Null ids take part; a class of null ids alone has the id null. Rows
@@ -250,26 +250,27 @@ def crossing(sizes: np.ndarray, bits: np.ndarray, classes: np.ndarray, percent:
 
 
 def _candidates(members: DataFrame, percent: int, cross: bool) -> DataFrame:
-    """Possible links in each bucket. ``members``: bucket, node, rep, n, bits, class."""
+    """Possible links in each bucket, from ``a`` to ``b``. ``members``: bucket, node, rep, n, bits, class."""
     dealt = members.select("bucket", "node", "rep", "n", "bits", "class").repartition("bucket").sortWithinPartitions("bucket", F.col("rep").asc_nulls_last(), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        edges: list[tuple[int, int]] = []
+        edges: list[tuple[int, int, int]] = []
 
         def work(of: pa.Table) -> None:
             bucket = of["bucket"].to_numpy()
             nodes, sizes, classes = (of[c].to_numpy() for c in ("node", "n", "class"))
+            reps = of["rep"].fill_null(np.iinfo(np.int64).max).to_numpy()
             bits = np.frombuffer(b"".join(of["bits"].to_pylist()), np.uint64).reshape(-1, 4)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 found = crossing(sizes[a:b], bits[a:b], classes[a:b], percent) if cross else spanning_forest(sizes[a:b], bits[a:b], percent)
-                edges.extend((int(nodes[a + i]), int(nodes[a + j])) for i, j in found)
+                edges.extend((int(nodes[a + i]), int(nodes[a + j]), int(reps[a + i])) for i, j in found)
 
         def out() -> pa.RecordBatch:
-            pairs = np.array(edges, dtype=np.int64).reshape(-1, 2)
+            rows = np.array(edges, dtype=np.int64).reshape(-1, 3)
             edges.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["a", "b", "rep_a"])
 
         for batch in batches:
             of = pa.Table.from_batches([batch])
@@ -286,17 +287,12 @@ def _candidates(members: DataFrame, percent: int, cross: bool) -> DataFrame:
         if edges:
             yield out()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, rep_a long").distinct()
 
 
-def _whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node``, ``members`` (sorted hashes) of the nodes wanted; ``nodes`` has their ``rep``.
-
-    A bitmap of fixed size keeps most unwanted texts from the shuffle; the join decides.
-    """
-    wanted = nodes.select("rep").where(F.col("rep").isNotNull()).distinct()
+def _texts(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """``node``, ``text`` for the rows whose ids are ``reps`` (a bitmap of fixed size lets a few others pass)."""
     size = 1 << 23
-    spot = F.pmod(F.xxhash64("rep"), F.lit(size)).alias("spot")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, dtype=np.uint8)
@@ -305,46 +301,43 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     marks = np.zeros(size // 8, dtype=np.uint8)
-    for row in wanted.select(spot).coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+    for row in reps.select(F.pmod(F.xxhash64("rep"), F.lit(size)).alias("spot")).coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
         marks |= np.frombuffer(row["bits"], np.uint8)
 
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7))) & 1 == 1))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("spot"))
-    rows = rows.mapInArrow(sieve, f"doc_id {kind}, text string, spot long")
-    texts = rows.join(wanted, rows["doc_id"] == wanted["rep"], "left_semi").select("text")
-    if (nodes.where(F.col("rep").isNull()).limit(1).count()) > 0:
-        texts = texts.unionByName(docs.where(F.col("doc_id").isNull()).select("text"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7))) & 1 == 1))
             for block in blocks(batch.column(0)):
-                sets = [s for s in document_sets(block, n) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
+                nodes = [node_of(s) if len(s) else None for s in document_sets(block, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).slice(block.rows.start, block.size)], names=["node", "text"])
 
-    return texts.mapInArrow(run, "node long, members binary").join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = docs.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(size)).alias("spot"))
+    return rows.mapInArrow(run, "node long, text string").where(F.col("node").isNotNull()).dropDuplicates(["node"])
 
 
-def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one, other = (sets.select(F.col("node").alias(x), F.col("members").alias(f"of_{x}")) for x in "ab")
+def _verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The edges whose whole sets link. Texts travel, being smaller than their sets; a set is made where it is compared."""
+    edges = edges.select("a", "b").distinct()
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    texts = _texts(docs, ends.join(nodes, "node").select("rep"), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+            keep: list[bool] = []
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                left, right = ([s for block in blocks(part.column(c)) for s in document_sets(block, n)] for c in (2, 3))
+                for x, y in zip(left, right, strict=True):
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep.append(100 * common >= percent * (len(both) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
+    one, other = (texts.select(F.col("node").alias(x), F.col("text").alias(f"of_{x}")) for x in "ab")
     pairs = edges.join(one, "a").join(other, "b").select("a", "b", "of_a", "of_b")
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long").checkpoint()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -372,16 +365,30 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     total = nodes.agg(F.sum("n")).first()[0] or 0
     shift = max(3, (total // PART_SHINGLES).bit_length())
     buckets = _buckets(_messages(docs, n, percent, shift), 1 << shift).checkpoint()
-    members = buckets.join(nodes, "node").withColumn("class", F.col("node"))
-    tested = _candidates(members, percent, cross=False).checkpoint()
-    sets = _whole_sets(docs, buckets.select("node").distinct().join(nodes, "node").select("node", "rep"), n).checkpoint()
-    links = _verified(tested, sets, percent).checkpoint()
+    tested = _candidates(buckets.join(nodes, "node").withColumn("class", F.col("node")), percent, cross=False).checkpoint()
+
+    def across(edges: DataFrame, classes: DataFrame) -> DataFrame:
+        """The edges whose ends are in different classes."""
+        for end in "ab":
+            of = classes.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}"))
+            edges = edges.join(of, end, "left").withColumn(f"class_{end}", F.coalesce(f"class_{end}", end))
+        return edges.where("class_a <> class_b").select("a", "b")
+
+    # first one link for each node, to the smallest id; most others then lie within a class
+    first = tested.groupBy("b").agg(F.min_by("a", F.struct("rep_a", "a")).alias("a")).select("a", "b").checkpoint()
+    links = _verified(first, docs, nodes, n, percent)
+    classes = connected(links)
+    rest = across(tested.join(first, ["a", "b"], "left_anti"), classes).checkpoint()
+    links = links.unionByName(_verified(rest, docs, nodes, n, percent))
     classes = connected(links)
 
-    classed = members.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    classed = buckets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     open_ = classed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
-    more = _candidates(classed.join(open_, "bucket", "left_semi"), percent, cross=True).join(tested, ["a", "b"], "left_anti").checkpoint()
-    found = _verified(more, sets, percent).checkpoint()
+    members = classed.join(open_, "bucket", "left_semi").join(nodes, "node")
+    known = first.unionByName(rest)
+    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = _candidates(members, percent, cross=True).select("a", "b").join(known, ["a", "b"], "left_anti").checkpoint()
+    found = _verified(more, docs, nodes, n, percent)
     if found.limit(1).count():
         classes = connected(links.unionByName(found))
     labelled = nodes.select("node", "rep").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
