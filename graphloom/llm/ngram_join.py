@@ -34,7 +34,7 @@ from graphloom.llm.textblocks import LOWER, SpanHasher, blocks, mix
 
 BLOCK = 4 << 20
 #: Shingles for each partition of signatures.
-PART_SHINGLES = 2_000_000
+PART_SHINGLES = 4_000_000
 _ODD = np.uint64(0xD1342543DE82EF95)
 #: Pairs of a group's three parts.
 _PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -71,11 +71,24 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """256 bits: whether an odd number of elements falls on each."""
-    bits = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """A bit for each of as many places as there are elements (a power of two, 256 at least): whether an odd number falls there."""
+    size = 1 << max(8, (len(shingles) - 1).bit_length())
+    bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def same_length(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps folded to the shortest one's length, as rows of 64-bit words. A folded bitmap is that of fewer places."""
+    least = min(map(len, bits), default=32)
+    rows = []
+    for b in bits:
+        row = np.frombuffer(b, np.uint64)
+        while len(row) * 8 > least:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        rows.append(row)
+    return np.array(rows).reshape(len(bits), least // 8)
+
+
 def band_ends(largest: int, percent: int) -> np.ndarray:
     """The largest size of each band, up to two bands beyond ``largest``."""
     ends, low = [], 1
@@ -261,10 +274,11 @@ def _candidates(members: DataFrame, percent: int, cross: bool) -> DataFrame:
             bucket = of["bucket"].to_numpy()
             nodes, sizes, classes = (of[c].to_numpy() for c in ("node", "n", "class"))
             reps = of["rep"].fill_null(np.iinfo(np.int64).max).to_numpy()
-            bits = np.frombuffer(b"".join(of["bits"].to_pylist()), np.uint64).reshape(-1, 4)
+            bits = of["bits"].to_pylist()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                found = crossing(sizes[a:b], bits[a:b], classes[a:b], percent) if cross else spanning_forest(sizes[a:b], bits[a:b], percent)
+                rows = same_length(bits[a:b])
+                found = crossing(sizes[a:b], rows, classes[a:b], percent) if cross else spanning_forest(sizes[a:b], rows, percent)
                 edges.extend((int(nodes[a + i]), int(nodes[a + j]), int(reps[a + i])) for i, j in found)
 
         def out() -> pa.RecordBatch:
