@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, top_k, url_filters, warc
+from graphloom.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_tree, top_k, url_filters, warc
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -99,6 +99,12 @@ def op5_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(told.unionByName(more), budget=512))
 
 
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of_id(10) == 0
+    scored = suffix_tree.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.measured_with_verdict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -171,7 +177,7 @@ SELECT doc_id, size, source_size, target, CAST(floor(n * rate + shift) - floor((
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bloom_cascade_url_filter, op2_quality_classifier, op3_vector_approximation_search, op4_sum_of_squares_packing, op5_budgeted_chat_windows,
-        op7_quality_rules, op8_partenum_ngram_join, op9_systematic_mixing, op10_warc_segments,
+        op6_suffix_tree_scores, op7_quality_rules, op8_partenum_ngram_join, op9_systematic_mixing, op10_warc_segments,
     )}
 
 
