@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.textblocks import LOWER, SpanHasher, blocks, mix
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Shingles for each partition of signatures.
-PART_SHINGLES = 4_000_000
+PART_SHINGLES = 2_000_000
 _ODD = np.uint64(0xD1342543DE82EF95)
 #: Pairs of a group's three parts.
 _PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -189,9 +189,22 @@ def _unpack(low: bytes, high: bytes, place: bytes, nodes: bytes) -> tuple[np.nda
     return a.astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 32, np.frombuffer(nodes, np.int64)[at]
 
 
-def _shared(messages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _shared(messages: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket (a hash of its members) and node, for signatures of more than one node."""
-    keys, nodes = (np.concatenate(x) for x in zip(*messages, strict=True))
+    total = sum(len(m[1]) for m in messages)
+    keys, nodes, at = np.empty(total, np.int64), np.empty(total, np.int64), 0
+    for m in messages:
+        n = len(m[1])
+        keys[at : at + n], nodes[at : at + n] = _unpack(*m)
+        at += n
+    # most signatures are of one place only: these go before anything is sorted by node
+    order = np.argsort(keys)
+    keys, nodes = keys[order], nodes[order]
+    del order
+    twin = np.zeros(total, dtype=bool)
+    twin[1:] = keys[1:] == keys[:-1]
+    twin[:-1] |= twin[1:]
+    keys, nodes = keys[twin], nodes[twin]
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     fresh = np.ones(len(keys), dtype=bool)
@@ -225,7 +238,7 @@ def _buckets(messages: DataFrame, parts: int) -> DataFrame:
                     yield from out()
                     held = []
                 at = part
-                held.append(_unpack(*message))
+                held.append(tuple(message))
         if held:
             yield from out()
 

@@ -41,19 +41,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_CODES = mix((np.arange(1, 257, dtype=np.uint64)) * np.uint64(_ODD))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _BASE, dtype=np.uint64)
     down = np.full(n, _BASE_INVERSE, dtype=np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+#: Workers are used again and again, so what they keep is small; longer tables are made when needed.
+_KEPT = 5 << 18
+_kept_powers = lru_cache(maxsize=1)(_make_powers)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 16
-    while size < n:
-        size *= 2
-    return _powers(size)
+    return _kept_powers(_KEPT) if n <= _KEPT else _make_powers(n)
 
 
 class SpanHasher:
