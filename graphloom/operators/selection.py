@@ -30,15 +30,17 @@ class Selector:
     def address(self) -> str:
         return f"//{self.package}:{self.name}"
 
-    def matches(self, address: Column = F.col("address")) -> Column:
+    def matches(self, column: str = "address") -> Column:
+        address = F.col(column)
         if self.name is not None:
             return address == self.address
         if not self.recursive:
             return address.startswith(f"//{self.package}:")
         return address.startswith("//") if not self.package else address.startswith(f"//{self.package}:") | address.startswith(f"//{self.package}/")
 
-    def matches_root(self, address: Column = F.col("address"), is_default: Column = F.col("is_default")) -> Column:
+    def matches_root(self) -> Column:
         """Graph roots: a default one has no name, so its package is its whole address and no exact pattern names it."""
+        address, is_default = F.col("address"), F.col("is_default")
         if self.name is not None:
             return ~is_default & (address == self.address)
         whole = f"//{self.package}"

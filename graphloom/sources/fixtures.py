@@ -26,10 +26,10 @@ RULES = {
     "tree_after": "SELECT lang || '/' || source || '/' || doc_id AS path, SHA(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS digest, OCTETS(text) AS size FROM {documents} WHERE NOT (lang = 'es' AND source = 'src3')",
     "blobs": "SELECT doc_id AS seq, SHA(text) AS digest, 'doc-' || lang AS kind, OCTETS(text) AS bytes FROM {documents}",
     "remote": "SELECT SHA(text) AS digest FROM {documents} WHERE doc_id % 3 = 0 UNION SELECT SHA(text) FROM {benchmark}",
-    "usage_events": "SELECT event_id AS seq, event_type AS kind, user_id AS id, EPOCH(ts) AS at, CASE WHEN event_id % 4 = 0 THEN CAST(floor(value * 100) AS BIGINT) END AS size_bytes FROM {events}",
+    "usage_events": "SELECT event_id AS seq, event_type AS kind, user_id AS id, EPOCH(ts) AS moment, CASE WHEN event_id % 4 = 0 THEN CAST(floor(value * 100) AS BIGINT) END AS size_bytes FROM {events}",
     "tasks": "SELECT o_custkey AS task, max(EPOCH(o_orderdate)) AS last_used FROM {orders} GROUP BY o_custkey",
     "task_blobs": "SELECT o_custkey AS task, o_orderkey AS blob, EPOCH(o_orderdate) AS last_used, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM {orders}",
-    "task_events": "SELECT event_id AS seq, user_id AS id, EPOCH(ts) AS at, CASE event_type WHEN 'signup' THEN 'Pending' WHEN 'view' THEN 'Running' WHEN 'purchase' THEN 'Done' WHEN 'error' THEN 'Done' ELSE 'Lane' END AS event, CASE event_type WHEN 'purchase' THEN 'Ok' WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'Canceled' ELSE 'Err' END END AS outcome, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS cached, CASE event_id % 2 WHEN 0 THEN 'local' ELSE 'remote' END AS cache_source, user_id % 4 AS slot FROM {events}",
+    "task_events": "SELECT event_id AS seq, user_id AS id, EPOCH(ts) AS moment, CASE event_type WHEN 'signup' THEN 'Pending' WHEN 'view' THEN 'Running' WHEN 'purchase' THEN 'Done' WHEN 'error' THEN 'Done' ELSE 'Lane' END AS event, CASE event_type WHEN 'purchase' THEN 'Ok' WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'Canceled' ELSE 'Err' END END AS outcome, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS cached, CASE event_id % 2 WHEN 0 THEN 'local' ELSE 'remote' END AS cache_source, user_id % 4 AS slot FROM {events}",
     "lock": "SELECT p_brand AS tool, p_type AS version, p_size AS platform, max(p_partkey) AS url FROM {part} GROUP BY p_brand, p_type, p_size",
     "lock_new": "SELECT p_brand AS tool, p_type AS version, p_size AS platform, max(p_partkey) AS url FROM {part} WHERE p_partkey % 7 = 0 GROUP BY p_brand, p_type, p_size",
 }
