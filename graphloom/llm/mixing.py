@@ -11,7 +11,7 @@ emitted once for each integer that its stretch of the sum crosses. The order run
 (powers of two), so that small and large documents are drawn in proportion.
 
 The running sum needs each document's rank in its source. A source may hold a third of all rows,
-so it is split into cells of a size class and a salt of about ``CELL_ROWS`` rows: a document's rank
+so it is split into cells of a size class and a salt of about ``CELL_ROWS`` rows, each in the order of size: a document's rank
 is its row number in the cell plus the counts of the cells before, which are a small table.
 
 Null texts and sizes count as 0; the null source comes last; null ids and repeated rows are drawn
@@ -76,7 +76,7 @@ def copies(docs: DataFrame, size: Column, source: Column, weights: tuple[int, ..
         counts = counts.join(spread, counts["_mix_source"].eqNullSafe(spread["_mix_source"]) & (counts["_mix_part"] == spread["_mix_spread"])).drop(spread["_mix_source"])
     starts = counts.select(*(F.col(k).alias(f"{k}_of") for k in key), "_mix_before", "_mix_source_size", "_mix_target")
     joined = rows.join(starts, F.col("_mix_source").eqNullSafe(F.col("_mix_source_of")) & (F.col("_mix_class") == F.col("_mix_class_of")) & (F.col("_mix_salt") == F.col("_mix_salt_of")))
-    rank = F.col("_mix_before") + F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "_mix_size"))
+    rank = F.col("_mix_before") + F.row_number().over(Window.partitionBy(*key).orderBy("_mix_size", "doc_id"))
     rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
     digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_mix_source").cast("string"), F.lit(""))), 256), 1, 8)
     offset = F.conv(digits, 16, 10).cast("double") / 4294967296.0

@@ -167,7 +167,7 @@ WITH d AS (
     CAST(CAST('0x' || substr(sha256('17:' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS shift FROM l
 ), r AS (
   SELECT doc_id, size, source_size, target, shift, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-    row_number() OVER (PARTITION BY k.source ORDER BY class, salt, doc_id, size) AS n
+    row_number() OVER (PARTITION BY k.source ORDER BY class, salt, size, doc_id) AS n
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, CAST(floor(n * rate + shift) - floor((n - 1) * rate + shift) AS BIGINT) * size AS taken FROM r
