@@ -38,18 +38,20 @@ _BEYOND = re.compile("[^\x00-ɏ]")
 
 
 @lru_cache(maxsize=2)
-def _encoders(json_path: str, ranks_path: str | None):
+def _plain(json_path: str):
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(json_path)
-    if ranks_path is None:
-        return plain, None
+    return Tokenizer.from_file(json_path)
+
+
+@lru_cache(maxsize=2)
+def _fast(ranks_path: str):
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return plain, tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, json_path: str, ranks_path: str | None = None) -> np.ndarray:
@@ -57,11 +59,11 @@ def encode(text: str, json_path: str, ranks_path: str | None = None) -> np.ndarr
 
     ``ranks_path``: the same vocabulary as ranks; texts for which both libraries must agree
     (no special token's string, no code point from U+0250 on) take that four times faster way.
+    A task loads what its texts need.
     """
-    plain, fast = _encoders(json_path, ranks_path)
-    if fast is not None and SPECIAL not in text and not _BEYOND.search(text):
-        return fast.encode_to_numpy(text)
-    return np.array(plain.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    if ranks_path is not None and SPECIAL not in text and not _BEYOND.search(text):
+        return _fast(ranks_path).encode_to_numpy(text)
+    return np.array(_plain(json_path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 class Packer:
