@@ -86,7 +86,7 @@ def copies(docs: DataFrame, size: Column, source: Column, weights: tuple[int, ..
 
 
 def emit(docs: DataFrame, size: Column, source: Column, **options) -> DataFrame:
-    """The mix itself: each document as often as it was drawn, with its own columns."""
-    columns = docs.columns
+    """The mix itself: each document as often as it was drawn, with its own columns (but those in ``_mix_``)."""
+    columns = [c for c in docs.columns if not c.startswith("_mix_")]
     drawn = copies(docs, size, source, **options).where("_mix_copies > 0")
     return drawn.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_mix_copy")).select(*columns)
