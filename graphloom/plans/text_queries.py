@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions import parsers
+from graphloom.functions import parsers, syntax
 from graphloom.plans.build_queries import query
 
 
@@ -53,3 +53,9 @@ def gen_build_c(documents):
     code = F.when(F.expr("doc_id % 97 = 0"), "int main(void) {}").when(F.expr("doc_id % 3 = 0"), '/* main() */ char *s = "main(";').otherwise("int f() {}")
     files = documents.select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"), code.alias("text"))
     return parsers.build_targets(files).select("folder", "kind", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM {events}", "events")
+def ts_query(events):
+    found = events.select("event_id", F.explode(syntax.query_of(F.col("props"), "(pair key: (string (string_content) @key) value: (number) @value)")).alias("m"))
+    return found.select("event_id", F.col("m.captures")[0]["text"].alias("key"), F.col("m.captures")[1]["text"].alias("value"))
