@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from graphloom.llm.textblocks import LOWER, SpanHasher, blocks, mix
 
@@ -385,8 +386,11 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id of the class) for each row."""
+def _classed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``node`` and ``keeps`` for each row.
+
+    ``keeps``: the row is of its class's smallest id and, among the sets under that id, of the smallest node.
+    """
     rows = _nodes(docs, n, percent).checkpoint()
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")).checkpoint()
     total = nodes.agg(F.sum("n")).first()[0] or 0
@@ -419,18 +423,52 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     if found.limit(1).count():
         classes = connected(links.unionByName(found))
     labelled = nodes.select("node", "rep").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    least = labelled.groupBy("class").agg(F.min("rep").alias("component_id"))
-    ids = labelled.join(least, "class").select("node", "component_id")
+    least = labelled.groupBy("class").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("least"))
+    ids = labelled.join(least, "class").select("node", F.col("least.rep").alias("component_id"), (F.col("node") == F.col("least.node")).alias("_first"))
     # rows of one set meet only through its node; the empty set stands alone
-    alone = rows.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.where(F.col("node").isNotNull()).join(ids, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = rows.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", F.lit(True).alias("keeps"))
+    keeps = F.col("_first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return rows.where(F.col("node").isNotNull()).join(ids, "node").select("doc_id", "n_shingles", "component_id", "node", keeps.alias("keeps")).unionByName(alone)
+
+
+def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id of the class) for each row."""
+    return _classed_rows(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_nodes(docs: DataFrame, n: int) -> DataFrame:
+    """The rows with their node as ``_keep_node``, null without words."""
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(text), BLOCK):
+                nodes = pa.array([node_of(s) if len(s) else None for s in document_sets(block, n)], pa.int64())
+                part = batch.slice(block.rows.start, block.size)
+                yield pa.RecordBatch.from_arrays([*part.columns, nodes], names=[*part.schema.names, "_keep_node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_keep_node", LongType())]))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each class, that of the smallest id, with its own columns; wordless texts all stay."""
-    marks = join_classes(docs, n, percent).checkpoint()
-    gone = marks.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    if marks.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    """One row of each class, that of the smallest id, with its own columns; wordless texts all stay.
+
+    An id that one row has decides on that row. Rows of null and repeated ids are told apart by their
+    nodes; of rows with one id and one set, one stays.
+    """
+    marks = _classed_rows(docs, n, percent).select("doc_id", "node", "keeps").checkpoint()
+    per_id = marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.bool_and("keeps").alias("_keeps"))
+    gone = per_id.where("_n = 1 and not _keeps").select("doc_id")
+    many = per_id.where("_n > 1").select("doc_id").checkpoint()
+    some_null = bool(marks.where("doc_id is null").limit(1).count())
+    if many.isEmpty() and not some_null:
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    named = docs.where("doc_id is not null")
+    clear = named.join(gone.unionByName(many), "doc_id", "left_anti").select(docs.columns)
+    unclear = _with_nodes(named.join(many, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null")), n)
+    wordless = unclear.where("_keep_node is null").select(docs.columns)
+    # one row for each id and set before they meet, so that no set is hot there
+    single = unclear.where("_keep_node is not null").dropDuplicates(["doc_id", "_keep_node"])
+    first = marks.where("keeps and node is not null").select(F.col("doc_id").alias("_keep_id"), F.col("node").alias("_keep_of")).distinct()
+    met = (F.col("_keep_node") == F.col("_keep_of")) & F.col("doc_id").eqNullSafe(F.col("_keep_id"))
+    return clear.unionByName(single.join(first, met, "left_semi").select(docs.columns)).unionByName(wordless)

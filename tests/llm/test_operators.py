@@ -283,6 +283,26 @@ def test_ngram_join_edges(docs):
     assert ngram_join.join_classes(docs.limit(0), 4, 85).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    queries.prepare(spark)
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    near = [t + " more" for t in text]
+    rows = [
+        (1, text[0]), (None, near[0]), (None, text[1]), (None, None), (None, " "),
+        (2, text[2]), (3, near[2]), (3, text[3]), (3, ""), (3, ""),
+        (4, text[4]), (4, near[4]), (4, text[4]),
+        (None, text[5]), (None, near[5]), (None, text[5]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in ngram_join.keep_one(df).collect()]
+    for row in [(1, text[0]), (None, text[1]), (None, None), (None, " "), (2, text[2]), (3, text[3])]:
+        assert kept.count(row) == 1
+    assert kept.count((3, "")) == 2
+    for key, i in ((4, 4), (None, 5)):
+        assert sum(k == key and t in (text[i], near[i]) for k, t in kept) == 1
+    assert len(kept) == 10
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(2)
     for size in (7, 12, 25, 60, 500):
