@@ -64,11 +64,17 @@ def trace_key(events):
 
 @query("SELECT event_id AS seq FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {events} f WHERE f.user_id = e.user_id AND f.event_type = e.event_type AND f.ts < e.ts AND f.ts >= e.ts - INTERVAL 1 HOUR)", "events")
 def single_flight(events):
-    from pyspark.sql.window import Window
-
-    # a call shares the run of an equal one that began in the hour before
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts"))
-    return events.withColumn("_before", before).where("_before is null or _before < ts - interval 1 hour or _before = ts").select(F.col("event_id").alias("seq"))
+    # a call shares the run of an equal one that began in the hour before: an earlier one of its own
+    # clock hour is that near, so only an hour's first calls look back, at the last of the hour before
+    keys = ["user_id", "event_type"]
+    local = events.schema["ts"].dataType.typeName() == "timestamp_ntz"
+    number = F.unix_date(F.col("ts").cast("date")) * 24 + F.hour("ts") if local else F.floor(F.unix_micros("ts") / F.lit(3_600_000_000))
+    hour = number.cast("long").alias("_hour")
+    hours = events.where("user_id is not null and event_type is not null and ts is not null").groupBy(*keys, hour).agg(F.min("ts").alias("ts"), F.max("ts").alias("_last"))
+    before = hours.select(*keys, (F.col("_hour") + 1).alias("_hour"), F.col("_last").alias("_before"))
+    first = hours.join(before, [*keys, "_hour"], "left").where("_before is null or _before < ts - interval 1 hour").select(*keys, "ts")
+    nameless = events.where("user_id is null or event_type is null or ts is null")
+    return events.join(first, [*keys, "ts"], "left_semi").select(F.col("event_id").alias("seq")).unionByName(nameless.select(F.col("event_id").alias("seq")))
 
 
 @query("SELECT lang, source, CASE WHEN count(*) FILTER (WHERE contains(text, '&&&')) > 0 THEN 'failed' WHEN count(*) FILTER (WHERE contains(text, '!!')) > 0 THEN 'unformatted' ELSE 'clean' END AS outcome FROM {documents} GROUP BY ALL", "documents")
