@@ -51,3 +51,34 @@ def reasons(changes: list[tuple[str, DataFrame]]) -> DataFrame:
         one = found.select("address", F.struct(F.lit(i).alias("at"), F.lit(reason).alias("reason")).alias("why"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.groupBy("address").agg(F.array_join(F.transform(F.array_sort(F.collect_set("why")), lambda w: w["reason"]), "; ").alias("reasons"))
+
+
+#: A change to one of these concerns the whole workspace.
+WORKSPACE_FILES = ("imp.workspace.js", "imp.workspace.ci.js")
+BUILD_FILE = "BUILD.js"
+
+
+def classes_of(changed: DataFrame, module_files: DataFrame) -> DataFrame:
+    """``path`` and ``class`` of the changed paths: workspace, build, module, or null for what nothing here owns."""
+    modules = module_files.select("path", F.lit(True).alias("_module")).distinct()
+    name = F.when(F.col("path").isin(*WORKSPACE_FILES), "workspace").when(F.substring_index("path", "/", -1) == BUILD_FILE, "build").when(F.col("_module"), "module")
+    return changed.select("path").distinct().join(modules, "path", "left").select("path", name.alias("class"))
+
+
+def owners_of_change(targets: DataFrame, module_files: DataFrame, imports: DataFrame, scopes: DataFrame, changed: DataFrame) -> DataFrame:
+    """``address`` of the targets (``address``) that changed paths (``path``) concern.
+
+    A workspace file concerns every target, a build file its own package alone, a module the packages
+    of all that import it, or every target if these reach a workspace file. ``module_files``: ``path``,
+    ``module``; ``imports``: ``src`` imports ``dst``; ``scopes``: the package (``scope``) of a module.
+    """
+    classed = classes_of(changed, module_files).checkpoint()
+    seeds = classed.where("class = 'module'").join(module_files, "path").select(F.col("module").alias("id"))
+    reached = stale_closure(imports.select(F.col("src").alias("key"), F.col("dst").alias("dep")), seeds)
+    whole = classed.where("class = 'workspace'").select("path").unionByName(reached.where(F.col("id").isin(*WORKSPACE_FILES)).select(F.col("id").alias("path")))
+    if whole.limit(1).count():
+        return targets.select("address").distinct()
+    own = classed.where("class = 'build'").select(F.concat(F.lit("//"), F.regexp_replace("path", "/?[^/]*$", "")).alias("_scope"))
+    above = scopes.join(reached.withColumnRenamed("id", "module"), "module").where(~F.col("scope").isNull()).select(F.col("scope").alias("_scope"))
+    wanted = own.unionByName(above).distinct()
+    return targets.select("address", F.substring_index("address", ":", 1).alias("_scope")).join(wanted, "_scope", "left_semi").select("address").distinct()

@@ -98,3 +98,22 @@ def merge_config(settings: DataFrame) -> DataFrame:
 
 def running(events: DataFrame, delta: Column, partition: list[str]) -> Column:
     return F.sum(delta).over(Window.partitionBy(*partition).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def lock_resolve(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """The requests (``address``, ``tool``, ``version``, ``platform``, ``unverified``) with ``url``, ``sha256``, ``reason``, ``fails``.
+
+    ``files``: ``address`` and ``contents`` of each lock file. ``reason`` is the first that holds of the five
+    why nothing is found; an unverified request then goes on without an entry, any other fails.
+    """
+    kind = "tool string, versions map<string, map<string, struct<url: string, sha256: string>>>"
+    held = files.select("address", F.col("contents").alias("_contents"), F.try_parse_json("contents").isNotNull().alias("_valid"), F.from_json("contents", kind).alias("_lock"))
+    rows = requests.join(held, "address", "left").withColumn("_of", F.try_element_at("_lock.versions", F.col("version")))
+    rows = rows.withColumn("_entry", F.try_element_at("_of", F.col("platform")))
+    reason = (
+        F.when(F.col("_contents").isNull(), "no lock file").when(~F.col("_valid"), "not valid JSON").when(~F.col("_lock.tool").eqNullSafe(F.col("tool")), "other tool")
+        .when(F.col("_of").isNull(), "unlocked version").when((F.coalesce("_entry.url", F.lit("")) == "") | (F.coalesce("_entry.sha256", F.lit("")) == ""), "unlocked platform")
+    )
+    rows = rows.withColumn("reason", reason)
+    found = lambda c: F.when(F.col("reason").isNull(), F.col(f"_entry.{c}")).alias(c)
+    return rows.select(*requests.columns, found("url"), found("sha256"), "reason", (F.col("reason").isNotNull() & ~F.coalesce("unverified", F.lit(False))).alias("fails"))
