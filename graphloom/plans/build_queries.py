@@ -199,6 +199,20 @@ def cc_transitive(edges):
     return edges.join(second, "dst").groupBy(F.col("src").alias("root"), "leaf").agg(F.count("*").alias("ways"))
 
 
+_WHOLE_PATHS = "WITH RECURSIVE w AS (SELECT id AS root, id AS leaf FROM (SELECT src AS id FROM {cc_edges} UNION SELECT dst FROM {cc_edges}) v UNION ALL SELECT w.root, e.dst FROM w JOIN {cc_edges} e ON e.src = w.leaf)"
+
+
+@query(f"{_WHOLE_PATHS} SELECT root, leaf, count(*) AS ways FROM w GROUP BY ALL", "cc_edges")
+def cc_multiplicity(edges):
+    return closure.multiplicity(edges)
+
+
+@query(f"WITH RECURSIVE r AS (SELECT src AS id FROM {{cc_edges}} WHERE src LIKE 'c:%' UNION SELECT e.dst FROM r JOIN {{cc_edges}} e ON e.src = r.id) {_REACH} WHERE id LIKE 's:%'", "cc_edges")
+def closure_kind_all(edges):
+    seeds = edges.where("src like 'c:%'").select(F.col("src").alias("id"))
+    return closure.reachable(edges, seeds).where(F.col("id").startswith("s:"))
+
+
 @query("SELECT path FROM {tree_before} WHERE regexp_full_match(path, 'en/src1[^/]*/[^/]*7') AND NOT regexp_full_match(path, '(.*/)?[^/]*77')", "tree_before")
 def fs_glob_match(tree):
     return tree.where(paths.matches_glob(F.col("path"), ["en/src1*/*7"], ["**/*77"])).select("path")

@@ -22,6 +22,7 @@ RULES = {
     "imports": "SELECT CAST(floor(p_partkey / 2) AS BIGINT) AS src, p_partkey AS dst FROM {part} WHERE p_partkey >= 1 UNION ALL SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT)",
     "replies": "SELECT conv_id * 1000 + turn AS src, conv_id * 1000 + turn - 1 AS dst FROM {conversations} WHERE turn > 0",
     "order_edges": "SELECT DISTINCT 'o:' || l_orderkey AS src, 'p:' || l_partkey AS dst FROM {lineitem} UNION ALL SELECT 'c:' || o_custkey, 'o:' || o_orderkey FROM {orders}",
+    "cc_edges": "SELECT src, dst FROM {order_edges} UNION ALL SELECT DISTINCT 'p:' || l_partkey, 's:' || l_suppkey FROM {lineitem}",
     "tree_before": "SELECT lang || '/' || source || '/' || doc_id AS path, SHA(text) AS digest, OCTETS(text) AS size FROM {documents} WHERE doc_id % 11 <> 0",
     "tree_after": "SELECT lang || '/' || source || '/' || doc_id AS path, SHA(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS digest, OCTETS(text) AS size FROM {documents} WHERE NOT (lang = 'es' AND source = 'src3')",
     "blobs": "SELECT doc_id AS seq, SHA(text) AS digest, 'doc-' || lang AS kind, OCTETS(text) AS bytes FROM {documents}",
