@@ -1,43 +1,49 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-States are contexts of up to two words. A context is a candidate if it makes up at least
-``least_share`` of the training tokens (so there are at most ``2 / least_share``, which is what the
-driver and the tasks hold). It is retained if its next-symbol distribution diverges from that of
-its suffix: the empirical divergence, less its expected bias (distinct next symbols / (2 * count)),
-must reach ``least_divergence`` nats a symbol. Distributions are smoothed towards the suffix's by
-the number of distinct next symbols (Witten and Bell); the empty context is the base model. A
-token is scored by the longest retained suffix of what precedes it in its document.
-
-Counts cover all training tokens and all that is scored. Texts are taken in blocks; a block sends
-each part of the hash space its distinct words and (word, context) pairs with their counts, packed.
-A part holds all that ends in its words, so it sums the counts, measures divergence and answers
-each block; the answers meet the block's text again, where the documents are scored. A frequent
-word is one entry a block there, never one row an occurrence.
+States are contexts of up to ``depth`` words; the empty context is the base model. A context is a
+candidate if it occurs ``least_count`` times in the training texts, its longest proper suffix is a
+state that is followed by more than one symbol (after a context with one successor a longer one
+tells nothing more), and its longest proper prefix was a candidate. A candidate is retained as a
+state by a divergence test: each of its occurrences is predicted by the context's smoothed
+distribution as it is without that occurrence, and the mean log ratio to the suffix's distribution
+must reach ``least_divergence`` nats. So every suffix of a state is a state, and their number grows
+with the corpus. Distributions are smoothed towards the suffix's by the number of distinct next
+symbols (Witten and Bell). A token is scored by the longest state that ends before it in its text.
+
+Counts cover all training tokens and all that is scored. There is one round for the words and one
+for each length. In a round every block of texts sends each part of the hash space its distinct
+(context, next word) pairs with their counts, packed; the part sums them, tests its contexts and
+answers. Answers are dealt to the blocks' scan partitions (``sidecar``), so texts are read again but
+never shuffled, and no task or driver holds the tree. The pairs of a context of ``hot_count``
+occurrences or more are split by the next word; of these contexts (``depth * 2 ** 16`` at most) the
+driver learns the number of successors and whether they are states.
 
 Null and empty texts are the closing symbol alone. Without training tokens every probability is 1.
-Rows whose ``train`` is null are not learned from. Extra columns are ignored, repeated rows count
-each, an empty table gives an empty result.
+Rows whose ``train`` is null are not learned from. Texts of any length are taken whole. Extra columns
+are ignored, repeated rows count each, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import sidecar
 from graphloom.llm.textblocks import LOWER, Block, SpanHasher, blocks, mix
 
 BLOCK = 4 << 20
-PART_TOKENS = 4_000_000
-LEAST_SHARE, LEAST_COUNT, LEAST_DIVERGENCE = 1e-4, 5, 0.02
-#: Up to so many candidates are looked up in a broadcast array; beyond, all contexts are counted.
-MOST_CANDIDATES = 1_000_000
+#: Bytes of text for each part of the hash space.
+PART_BYTES = 16 << 20
+DEPTH, LEAST_COUNT, LEAST_DIVERGENCE = 4, 2, 0.02
+HOT_COUNT, MOST_HOT = 1 << 18, 1 << 16
 ADDED = 0.1
 _ODD = np.uint64(0xD1342543DE82EF95)
 _END = mix(np.array([0x656E64], dtype=np.uint64))[0]
@@ -52,326 +58,314 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(block.size + 1)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * _ODD + b)
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places in a sorted table, -1 where it lacks the key."""
-    if not len(table):
-        return np.full(len(keys), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
-@dataclass
-class Contexts:
-    """Candidate contexts: hashes of one word and of two, sorted; of the latter, the place of the suffix."""
+def _narrow(values: np.ndarray) -> bytes:
+    wide = len(values) and int(values.max()) >> 32
+    return (b"w" if wide else b"n") + zlib.compress(values.astype(np.uint64 if wide else np.uint32).tobytes(), 1)
 
-    one: np.ndarray
-    two: np.ndarray
-    parent: np.ndarray
 
-    @property
-    def n(self) -> int:
-        return len(self.one) + len(self.two)
+def _wide(values: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(values[1:]), np.uint64 if values[:1] == b"w" else np.uint32).astype(np.int64)
 
 
 @dataclass
-class Analysis:
-    """A block by its distinct words (sorted) and distinct (word, context) pairs (sorted)."""
-
-    words: np.ndarray
-    word_of: np.ndarray
-    pairs: np.ndarray
-    #: For each token the place of its pair with the one-word and the two-word context, or -1.
-    pair_of: tuple[np.ndarray, np.ndarray]
-    document: np.ndarray
-
-
-def analyse(block: Block, contexts: Contexts) -> Analysis:
-    all_, first = tokens(block)
-    words, word_of = np.unique(all_, return_inverse=True)
-    document = np.repeat(np.arange(block.size), np.diff(first))
-    place = np.arange(len(all_)) - first[document]
-    one = _find(contexts.one, words)[word_of]
-    before = np.full((2, len(all_)), -1, dtype=np.int64)
-    later = np.flatnonzero(place >= 1)
-    before[0, later] = one[later - 1]
-    later = later[(place[later] >= 2) & (before[0, later] >= 0)]
-    later = later[one[later - 2] >= 0]
-    two = _find(contexts.two, _pair(all_[later - 2], all_[later - 1]))
-    before[1, later] = np.where(two >= 0, two + len(contexts.one), -1)
-    n = max(1, contexts.n)
-    has = before >= 0
-    codes = np.concatenate([word_of[has[i]] * n + before[i, has[i]] for i in range(2)])
-    pairs, pair = np.unique(codes, return_inverse=True)
-    pair_of = np.full((2, len(all_)), -1, dtype=np.int64)
-    pair_of[0, has[0]], pair_of[1, has[1]] = pair[: has[0].sum()], pair[has[0].sum() :]
-    return Analysis(words, word_of, pairs, (pair_of[0], pair_of[1]), document)
+class Rule:
+    """What a round needs to know beside the answers. ``hot``: hashes and successors of hot states, by length."""
+
+    shift: int
+    least_count: int
+    hot_count: int
+    total: int = 0
+    vocabulary: int = 0
+    hot: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
+
+
+class Level:
+    """The distinct (context, word) pairs of one context length in a block, in the order of their messages."""
+
+    def __init__(self, at: np.ndarray, of: np.ndarray, size: int, hashes: np.ndarray, learned: np.ndarray) -> None:
+        self.at, self.of, self.hashes = at, of, hashes
+        #: For each token the place of its pair, or -1.
+        self.pair = np.full(size, -1, dtype=np.int64)
+        self.pair[at] = of
+        self.learned = np.bincount(of[learned], minlength=len(hashes))
+
+
+class Walk:
+    """A block's tokens, and what is known of them length by length."""
+
+    def __init__(self, block: Block, train: np.ndarray, rule: Rule) -> None:
+        every, first = tokens(block)
+        self.rule, self.size = rule, len(every)
+        self.word, self.words = pd.factorize(every)
+        self.document = np.repeat(np.arange(block.size), np.diff(first))
+        self.inside = np.flatnonzero(np.arange(self.size) > first[self.document])
+        self.learned = train[self.document]
+        self.level = level = Level(np.arange(self.size), self.word, self.size, self.words, self.learned)
+        level.part = (self.words >> np.uint64(64 - rule.shift)).astype(np.int64)
+        level.order = np.argsort(level.part, kind="stable")
+        self.n = 0
+
+    def take(self, counts: np.ndarray, kinds: np.ndarray) -> None:
+        """The answers to the present length's messages: pairs' counts, contexts' successors (0: no state)."""
+        level, rule = self.level, self.rule
+        if len(counts) != len(level.hashes):
+            raise ValueError("the table's partitions changed between two readings")
+        level.count = np.empty(len(level.hashes), dtype=np.int64)
+        level.count[level.order] = counts
+        if not self.n:
+            level.of_context = np.full(len(level.hashes), rule.total)
+            level.kinds = np.full(len(level.hashes), 2)
+            self.p = (level.count + ADDED)[self.word] / (rule.total + ADDED * (rule.vocabulary + 1))
+            self.base = np.log10(self.p)
+            self.known = level.count[self.word] > 0
+            return
+        level.kinds = np.empty(len(level.hashes), dtype=np.int64)
+        level.kinds[level.order] = np.repeat(kinds, level.sizes)
+        hot = np.flatnonzero(level.of_context >= rule.hot_count)
+        if len(hot):
+            keys, of = rule.hot[self.n - 1]
+            place = np.minimum(np.searchsorted(keys, level.context[hot]), max(0, len(keys) - 1))
+            level.kinds[hot] = np.where(keys[place] == level.context[hot], of[place], 0) if len(keys) else 0
+        kinds = level.kinds[level.of]
+        of, at, kinds = level.of[kinds > 0], level.at[kinds > 0], kinds[kinds > 0]
+        self.p[at] = (level.count[of] + kinds * self.p[at]) / (level.of_context[of] + kinds)
+
+    def deepen(self) -> None:
+        """The pairs with contexts one word longer."""
+        above, rule = self.level, self.rule
+        at = self.inside
+        context, same = above.pair[at - 1], above.pair[at]
+        some = np.flatnonzero((context >= 0) & (same >= 0))
+        some = some[(above.count[context[some]] >= rule.least_count) & (above.kinds[same[some]] >= 2)]
+        at = at[some]
+        n_words = max(1, len(self.words))
+        of, keys = pd.factorize(above.pair[at - 1] * n_words + self.word[at])
+        context, word = keys // n_words, keys % n_words
+        hashes = above.hashes[context]
+        self.level = level = Level(at, of, self.size, mix(hashes * _ODD + self.words[word]), self.learned[at])
+        level.context, level.of_context = hashes, above.count[context]
+        one = np.empty(len(keys), dtype=np.int64)
+        one[of[::-1]] = at[::-1]
+        level.suffix = above.pair[one]
+        level.above, level.of_above = above.count[level.suffix], above.of_context[level.suffix]
+        level.next = self.words[word]
+        split = level.of_context // rule.hot_count + 1
+        bucket = (level.next >> np.uint64(40)) % split.astype(np.uint64)
+        level.part = (mix(hashes + bucket * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - rule.shift)).astype(np.int64)
+        group = level.part * max(1, len(above.hashes)) + context
+        level.order = np.argsort(group, kind="stable")
+        group = group[level.order]
+        level.starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        level.sizes = np.diff(np.append(level.starts, len(group)))
+        self.n += 1
+
+    def messages(self) -> Iterator[tuple[int, tuple[bytes, ...]]]:
+        """For each part: of words, hashes and counts; of pairs, the contexts and what follows them."""
+        level = self.level
+        part = level.part[level.order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist() if len(part) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            pairs = level.order[a:b]
+            if not self.n:
+                yield int(part[a]), (level.hashes[pairs].tobytes(), _narrow(level.learned[pairs]), b"", b"", b"", b"", b"", b"")
+                continue
+            x, y = np.searchsorted(level.starts, [a, b])
+            heads = level.order[level.starts[x:y]]
+            words = level.next[pairs]
+            yield int(part[a]), (
+                level.context[heads].tobytes(), _narrow(level.learned[pairs]), _narrow(level.sizes[x:y]), _narrow(level.of_context[heads]), _narrow(level.of_above[heads]),
+                words.astype(np.uint32).tobytes(), ((words >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), _narrow(level.above[pairs]),
+            )
+
+
+_MESSAGE = "contexts binary, learned binary, sizes binary, of_context binary, of_above binary, low binary, high binary, above binary"
+_ANSWER = "scan int, block int, part int, counts binary, kinds binary, context long, n long, above long, a long, b long, m long"
+
+
+def gains(a: np.ndarray, b: np.ndarray, kinds: np.ndarray, n: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A pair's part in the divergence: ``a`` of a context's ``n`` occurrences, ``b`` of its suffix's ``above``.
+
+    A symbol seen once has no count left without that occurrence, so there the suffix's probability cancels.
+    """
+    once = np.log(np.maximum(kinds - 1, 1) / np.maximum(n + kinds - 2, 1))
+    q = np.maximum(b, 1) / np.maximum(above, 1)
+    more = a * np.log(np.maximum(a - 1 + kinds * q, 1e-300) / (np.maximum(n - 1 + kinds, 1) * q))
+    return np.where(a == 1, once, np.where(a > 1, more, 0.0))
+
+
+def answer_words(held: list[tuple]) -> tuple[list[tuple], int, int]:
+    words = [np.frombuffer(m[2], np.uint64) for m in held]
+    of, unique = pd.factorize(np.concatenate(words))
+    counts = np.bincount(of, np.concatenate([_wide(m[3]) for m in held]), minlength=len(unique)).astype(np.int64)
+    out, x = [], 0
+    for m, w in zip(held, words, strict=True):
+        out.append((m[0], m[1], _narrow(counts[of[x : x + len(w)]]), b""))
+        x += len(w)
+    return out, int(counts.sum()), int((counts > 0).sum())
+
+
+def answer_pairs(held: list[tuple], hot_count: int, least_divergence: float) -> tuple[list[tuple], np.ndarray]:
+    """Answers to a part's messages, and the hot contexts' pairs as rows of context, n, above, a, b and how many."""
+    sizes = [_wide(m[4]) for m in held]
+    context_of, contexts = pd.factorize(np.concatenate([np.frombuffer(m[2], np.uint64) for m in held]))
+    n, above_n = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+    n[context_of], above_n[context_of] = np.concatenate([_wide(m[5]) for m in held]), np.concatenate([_wide(m[6]) for m in held])
+    of = np.repeat(context_of, np.concatenate(sizes))
+    low, high = (np.concatenate([np.frombuffer(m[i], t) for m in held]).astype(np.uint64) for i, t in ((7, np.uint32), (8, np.uint8)))
+    pair_of, pairs = pd.factorize(mix(contexts[of] * _ODD + (high << np.uint64(32) | low)))
+    learned = np.concatenate([_wide(m[3]) for m in held])
+    a = np.bincount(pair_of, learned, minlength=len(pairs)).astype(np.int64)
+    b, context = np.empty(len(pairs), np.int64), np.empty(len(pairs), np.int64)
+    b[pair_of], context[pair_of] = np.concatenate([_wide(m[9]) for m in held]), of
+    kinds = np.bincount(context, a > 0, minlength=len(contexts)).astype(np.int64)
+    gain = np.bincount(context, gains(a, b, kinds[context], n[context], above_n[context]), minlength=len(contexts))
+    cold = n < hot_count
+    told = np.where(cold & (n > 0) & (gain >= least_divergence * n), kinds, 0)
+    out, x, y = [], 0, 0
+    for m, size in zip(held, sizes, strict=True):
+        k = int(size.sum())
+        out.append((m[0], m[1], _narrow(a[pair_of[y : y + k]]), _narrow(told[context_of[x : x + len(size)]])))
+        x, y = x + len(size), y + k
+    hot = np.flatnonzero(~cold[context] & (a > 0))
+    rows = np.stack([contexts.view(np.int64)[context[hot]], n[context[hot]], above_n[context[hot]], a[hot], np.where(a[hot] == 1, 0, b[hot])], axis=1)
+    rows, many = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.zeros(0, np.int64))
+    return out, np.column_stack([rows, many])
 
 
 def _flags(column: pa.Array) -> np.ndarray:
     return column.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _context_counts(rows: DataFrame, share: float | None, wanted: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """``depth``, ``key``, ``last``, ``n`` of contexts in each block's training tokens; depth 0: the tokens' number.
-
-    ``share``: only those that make up so much of the block; ``wanted``: only these keys of depth 1 and 2.
-    """
+def walks(batches: Iterator[pa.RecordBatch], folder: str, rounds: int, rule: Rule) -> Iterator[tuple[int, pa.RecordBatch, Walk]]:
+    """Number, rows and walk of each block of a scan partition, with the answers of so many rounds taken."""
+    held = [_by_block(sidecar.dealt_to(f"{folder}/{r}")) for r in range(rounds)]
+    number = 0
+    for batch in batches:
+        for block in blocks(batch.column(1), BLOCK):
+            rows = batch.slice(block.rows.start, block.size)
+            walk = Walk(block, _flags(rows.column(2)), rule)
+            for r in range(rounds):
+                if r:
+                    walk.deepen()
+                found = held[r].pop(number, [])
+                walk.take(*(np.concatenate([_wide(x[i]) for x in found]) if found and found[0][i] else np.zeros(0, np.int64) for i in (0, 1)))
+            yield number, rows, walk
+            number += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(0), BLOCK):
-                train = _flags(batch.column(1).slice(block.rows.start, block.size))
-                all_, first = tokens(block)
-                learned = np.repeat(train, np.diff(first))
-                n = int(learned.sum())
-                least = 1 if share is None else share * n
-                out = [(np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([n]))]
-                word = learned & (all_ != _END)
-                keys, of, counts = np.unique(all_[word], return_inverse=True, return_counts=True)
-                keep = counts >= least if wanted is None else _find(wanted[0], keys) >= 0
-                out.append((np.full(keep.sum(), 1), keys[keep], np.zeros(keep.sum(), np.uint64), counts[keep]))
-                frequent = np.zeros(len(all_), dtype=bool)
-                frequent[word] = keep[of]
-                # neighbours in the array are neighbours in a document: the closing symbol is never frequent
-                at = np.flatnonzero(frequent[1:] & frequent[:-1]) + 1
-                keys, where, counts = np.unique(_pair(all_[at - 1], all_[at]), return_index=True, return_counts=True)
-                keep = counts >= least if wanted is None else _find(wanted[1], keys) >= 0
-                out.append((np.full(keep.sum(), 2), keys[keep], all_[at][where[keep]], counts[keep]))
-                depth, key, last, count = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(depth.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(last.view(np.int64)), pa.array(count.astype(np.int64))], names=["depth", "key", "last", "n"])
-
-    return rows.select("text", "train").mapInArrow(run, "depth long, key long, last long, n long")
-
-
-def candidate_contexts(rows: DataFrame, least_share: float, least_count: int) -> tuple[Contexts, int]:
-    """The contexts that are frequent enough, and the number of training tokens.
-
-    What has a share of the whole has it in some block, so the blocks' frequent contexts are all
-    that need exact counts.
-    """
-    local = _context_counts(rows, least_share, None).groupBy("depth", "key").agg(F.sum("n").alias("n")).checkpoint()
-    total = local.where("depth = 0").agg(F.sum("n")).first()[0] or 0
-    wanted = None
-    if local.count() <= MOST_CANDIDATES:
-        found = [np.sort(np.array([r["key"] for r in local.where(F.col("depth") == d).select("key").collect()], dtype=np.int64).view(np.uint64)) for d in (1, 2)]
-        wanted = (found[0], found[1])
-    counts = _context_counts(rows, None, wanted).where("depth > 0").groupBy("depth", "key").agg(F.sum("n").alias("n"), F.min("last").alias("last"))
-    frequent = counts.where(F.col("n") >= max(least_count, least_share * total)).collect()
-    one = np.sort(np.array([r["key"] for r in frequent if r["depth"] == 1], dtype=np.int64).view(np.uint64))
-    two = sorted((np.int64(r["key"]).view(np.uint64), np.int64(r["last"]).view(np.uint64)) for r in frequent if r["depth"] == 2)
-    last = np.array([x[1] for x in two], dtype=np.uint64)
-    return Contexts(one, np.array([x[0] for x in two], dtype=np.uint64), _find(one, last)), total
 
+def _by_block(table: pa.Table | None) -> dict[int, list[tuple[bytes, bytes]]]:
+    out: dict[int, list] = {}
+    if table is not None:
+        for block, part, counts, kinds in zip(*(table[c].to_pylist() for c in ("block", "part", "counts", "kinds")), strict=True):
+            out.setdefault(block, []).append((part, counts, kinds))
+    return {k: [x[1:] for x in sorted(v, key=lambda x: x[0])] for k, v in out.items()}
 
-def _block_id(ordinal: int) -> int:
-    return (TaskContext.get().partitionId() << 32) + ordinal
 
+def _messages(rows: DataFrame, folder: str, number: int, rule: Rule) -> DataFrame:
+    names = ["scan", "block", "part", *(x.split()[0] for x in _MESSAGE.split(", "))]
 
-def _messages(rows: DataFrame, contexts: Contexts, shift: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinal, n = 0, max(1, contexts.n)
-        for batch in batches:
-            for block in blocks(batch.column(0), BLOCK):
-                train = _flags(batch.column(1).slice(block.rows.start, block.size))
-                found = analyse(block, contexts)
-                learned = train[found.document]
-                counts = np.bincount(found.word_of[learned], minlength=len(found.words))
-                pair_counts = np.zeros(len(found.pairs), dtype=np.int64)
-                for of in found.pair_of:
-                    used = learned & (of >= 0)
-                    pair_counts += np.bincount(of[used], minlength=len(found.pairs))
-                per_word = np.bincount(found.pairs // n, minlength=len(found.words))
-                part = (found.words >> np.uint64(64 - shift)).astype(np.int64)
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
-                upto = np.concatenate([[0], np.cumsum(per_word)])
-                out = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    x, y = upto[a], upto[b]
-                    out.append((int(part[a]), _block_id(ordinal), found.words[a:b].tobytes(), _narrow(counts[a:b]), _narrow(per_word[a:b]), _narrow(found.pairs[x:y] % n), _narrow(pair_counts[x:y])))
-                ordinal += 1
-                kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "block", "words", "counts", "per_word", "contexts", "pair_counts"])
-
-    return rows.select("text", "train").mapInArrow(run, "part long, block long, words binary, counts binary, per_word binary, contexts binary, pair_counts binary")
-
+        scan = TaskContext.get().partitionId()
+        for block, _, walk in walks(batches, folder, number, rule):
+            if number:
+                walk.deepen()
+            told = list(walk.messages())
+            if told:
+                columns = [[scan] * len(told), [block] * len(told), [p for p, _ in told], *zip(*(m for _, m in told), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 3 else pa.binary()) for i, c in enumerate(columns)], names=names)
 
-def _narrow(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype(np.uint32).tobytes(), 1)
+    return rows.mapInArrow(run, f"scan int, block int, part int, {_MESSAGE}")
 
 
-def _wide(values: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(values), np.uint32).astype(np.int64)
-
-
-def _log_sum(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return counts * np.log(np.maximum(values, 1))
-
-
-class Part:
-    """What a part of the hash space learns from its messages, and its answers to them."""
-
-    def __init__(self, messages: list[tuple], contexts: Contexts) -> None:
-        n, n_one = max(1, contexts.n), len(contexts.one)
-        words = [np.frombuffer(m[1], np.uint64) for m in messages]
-        unique, of = np.unique(np.concatenate(words), return_inverse=True)
-        self.counts = np.bincount(of, np.concatenate([_wide(m[2]) for m in messages]), minlength=len(unique)).astype(np.int64)
-        per_word = np.concatenate([_wide(m[3]) for m in messages])
-        codes = np.repeat(of, per_word) * n + np.concatenate([_wide(m[4]) for m in messages])
-        pairs, pair = np.unique(codes, return_inverse=True)
-        self.pair_counts = np.bincount(pair, np.concatenate([_wide(m[5]) for m in messages]), minlength=len(pairs)).astype(np.int64)
-        context, word = pairs % n, pairs // n
-        above = self.counts[word]
-        deep = np.flatnonzero(context >= n_one)
-        if len(deep):
-            at = _find(pairs, word[deep] * n + contexts.parent[context[deep] - n_one])
-            above[deep] = self.pair_counts[at]
-        c = self.pair_counts
-        #: For each context: tokens that follow it, kinds of them, and sums for the divergence.
-        self.stats = np.stack([np.bincount(context, w, minlength=n) for w in (c, c > 0, _log_sum(c, c), _log_sum(c, above))])
-        self.answers, x, y = [], 0, 0
-        for m, w in zip(messages, words, strict=True):
-            k = int(per_word[x : x + len(w)].sum())
-            self.answers.append((m[0], _narrow(self.counts[of[x : x + len(w)]]), _narrow(c[pair[y : y + k]])))
-            x, y = x + len(w), y + k
-
-
-_ANSWER = "kind int, part long, block long, counts binary, pair_counts binary, context long, n double, kinds double, own double, above double"
-
-
-def _answers(messages: DataFrame, contexts: Contexts, parts: int) -> DataFrame:
-    """Kind 0: answers to blocks; kind 1: a task's sums by context; kind 2: its tokens and kinds of words."""
-    dealt = messages.repartition(parts, "part").sortWithinPartitions("part", "block")
-    names = [x.split()[0] for x in _ANSWER.split(", ")]
-
-    def batch_of(kind: int, columns: dict[str, object], n: int) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.float64()] * 4]
-        columns = columns | {"kind": [kind] * n}
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
+def _answers(messages: DataFrame, work: Callable[[list[tuple]], tuple[list[tuple], list[tuple]]], parts: int) -> DataFrame:
+    """Answers of each part; rows of scan -1 are for the driver."""
+    dealt = messages.repartition(parts, "part").sortWithinPartitions("part", "scan", "block")
+    fields = [x.split() for x in _ANSWER.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k] for _, k in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, totals = np.zeros((4, max(1, contexts.n))), np.zeros(2)
         held: list[tuple] = []
         at = None
 
         def out() -> pa.RecordBatch:
-            nonlocal stats
-            part = Part(held, contexts)
-            stats = stats + part.stats
-            totals[:] += part.counts.sum(), (part.counts > 0).sum()
-            block, counts, pair_counts = zip(*part.answers, strict=True)
-            return batch_of(0, {"part": [at] * len(block), "block": block, "counts": counts, "pair_counts": pair_counts}, len(block))
+            told, extra = work(held)
+            rows = [(scan, block, at, counts, of, *[None] * 6) for scan, block, counts, of in told]
+            rows += [(-1, -1, at, None, None, *(int(x) for x in row)) for row in extra]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f for f, _ in fields])
 
         for batch in batches:
-            for part, *message in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for scan, block, part, *message in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and part != at:
                     yield out()
                     held = []
                 at = part
-                held.append(tuple(message))
+                held.append((scan, block, *message))
         if held:
             yield out()
-        seen = np.flatnonzero(stats[0])
-        yield batch_of(1, {"context": seen, **dict(zip(("n", "kinds", "own", "above"), stats[:, seen], strict=True))}, len(seen))
-        yield batch_of(2, {"n": totals[:1], "kinds": totals[1:]}, 1)
 
     return dealt.mapInArrow(run, _ANSWER)
 
 
-@dataclass
-class Model:
-    """Per context: tokens that follow, kinds of them, and whether the context is a state of the tree."""
-
-    contexts: Contexts
-    total: int
-    vocabulary: int
-    n: np.ndarray
-    kinds: np.ndarray
-    retained: np.ndarray
-
-
-def model_of(answers: DataFrame, contexts: Contexts, least_divergence: float) -> Model:
-    """The tree's states. What is collected is one row a context."""
-    n, n_one = max(1, contexts.n), len(contexts.one)
-    sums = np.zeros((4, n))
-    for r in answers.where("kind = 1").groupBy("context").agg(*(F.sum(c).alias(c) for c in ("n", "kinds", "own", "above"))).collect():
-        sums[:, r["context"]] = r["n"], r["kinds"], r["own"], r["above"]
-    total, vocabulary = (int(x or 0) for x in answers.where("kind = 2").agg(F.sum("n"), F.sum("kinds")).first())
-    count, kinds, own, above = sums
-    of_suffix = np.full(n, float(max(1, total)))
-    if len(contexts.two):
-        of_suffix[n_one : contexts.n] = count[contexts.parent]
-    some = np.maximum(count, 1)
-    divergence = (own - above) / some + np.log(np.maximum(of_suffix, 1)) - np.log(some) - kinds / (2 * some)
-    return Model(contexts, total, vocabulary, count, kinds, (count > 0) & (divergence >= least_divergence))
-
-
-def token_scores(found: Analysis, counts: np.ndarray, pair_counts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities of the block's tokens, by the base model and by the tree."""
-    base = (counts[found.word_of] + ADDED) / (model.total + ADDED * (model.vocabulary + 1))
-    p = base.copy()
-    n = max(1, model.contexts.n)
-    for of in found.pair_of:
-        at = np.flatnonzero(of >= 0)
-        context = found.pairs[of[at]] % n
-        state = model.retained[context]
-        at, context = at[state], context[state]
-        p[at] = (pair_counts[of[at]] + model.kinds[context] * p[at]) / (model.n[context] + model.kinds[context])
-    return np.log10(base), np.log10(p)
-
-
-def score(docs: DataFrame, train: Column, least_share: float = LEAST_SHARE, least_count: int = LEAST_COUNT, least_divergence: float = LEAST_DIVERGENCE) -> DataFrame:
+def _for_driver(rows: DataFrame, path: str) -> DataFrame:
+    """The rows of scan -1; an empty table if no task had any."""
+    spark = rows.sparkSession
+    return spark.read.schema(_ANSWER).option("basePath", path).parquet(path).where("scan = -1")
+
+
+def hot_states(rows: DataFrame, least_divergence: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and successors of the hot contexts that are states."""
+    one = rows.groupBy("context", "n", "above", "a", "b").agg(F.sum("m").alias("m"))
+    kinds = one.groupBy("context").agg(F.sum("m").alias("kinds"))
+    q = F.col("b") / F.col("above")
+    more = F.col("a") * F.log((F.col("a") - 1 + F.col("kinds") * q) / ((F.col("n") - 1 + F.col("kinds")) * q))
+    once = F.log(F.greatest(F.col("kinds") - 1, F.lit(1)) / F.greatest(F.col("n") + F.col("kinds") - 2, F.lit(1)))
+    gain = F.sum(F.col("m") * F.when(F.col("a") == 1, once).otherwise(more))
+    tested = one.join(kinds, "context").groupBy("context", "n", "kinds").agg(gain.alias("gain"))
+    states = tested.where(F.col("gain") >= least_divergence * F.col("n")).select("context", "kinds").collect()
+    keys = np.array([r["context"] for r in states], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["kinds"] for r in states], dtype=np.int64)[order]
+
+
+def score(docs: DataFrame, train: Column, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_divergence: float = LEAST_DIVERGENCE) -> DataFrame:
     """``doc_id``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` for each row.
 
-    ``docs`` is read several times and must give the same rows in the same partitions each time (a
+    ``docs`` is read ``depth + 2`` times and must give the same rows in the same partitions each time (a
     scan, a checkpoint); a block that has changed meanwhile is found out and raises.
     """
     rows = docs.select("doc_id", "text", train.alias("train"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    contexts, total = candidate_contexts(rows, least_share, least_count)
-    shift = max(3, (total // PART_TOKENS).bit_length())
-    answers = _answers(_messages(rows, contexts, shift), contexts, 1 << shift).checkpoint()
-    model = model_of(answers, contexts, least_divergence)
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinal = 0
-        for batch in batches:
-            for block in blocks(batch.column(1), BLOCK):
-                ids, learned = (batch.column(c).slice(block.rows.start, block.size) for c in (0, 2))
-                one = pa.array([0, block.size], pa.int32())
-                columns = [pa.array([_block_id(ordinal)], pa.int64()), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, learned), pa.array([block.data.tobytes()], pa.binary()), pa.array([block.offsets.astype(np.int64).tobytes()], pa.binary())]
-                ordinal += 1
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "train", "x", "y"])
-
-    sent = rows.mapInArrow(texts, f"block long, ids array<{kind}>, train array<boolean>, x binary, y binary")
-    sent = sent.select("block", F.lit(-1).cast("long").alias("part"), "ids", "train", "x", "y").withColumn("late", F.lit(1))
-    back = answers.where("kind = 0").select("block", "part", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("array<boolean>").alias("train"), F.col("counts").alias("x"), F.col("pair_counts").alias("y"), F.lit(0).alias("late"))
-    dealt = sent.unionByName(back).repartition("block").sortWithinPartitions("block", "late", "part")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shift = max(3, (size // PART_BYTES).bit_length())
+    folder = sidecar.new_folder(docs.sparkSession, "suffix-tree")
+    rule = Rule(shift, least_count, HOT_COUNT)
+    for number in range(depth + 1):
+        hot_count = rule.hot_count
+
+        def work(held: list[tuple], number: int = number, hot_count: int = hot_count) -> tuple[list[tuple], list[tuple]]:
+            if number:
+                return answer_pairs(held, hot_count, least_divergence)
+            told, total, vocabulary = answer_words(held)
+            return told, [(0, total, vocabulary, 0, 0, 0)]
+
+        path = f"{folder}/{number}"
+        sidecar.deal(_answers(_messages(rows, folder, number, rule), work, 1 << shift), path, "block", "part")
+        mine = _for_driver(rows, path)
+        if not number:
+            total, vocabulary = (int(x or 0) for x in mine.agg(F.sum("n"), F.sum("above")).first())
+            # so that at most MOST_HOT contexts of a length are hot
+            rule = Rule(shift, least_count, max(HOT_COUNT, total // MOST_HOT), total, vocabulary)
+        else:
+            rule = Rule(shift, least_count, rule.hot_count, total, vocabulary, (*rule.hot, hot_states(mine, least_divergence)))
     names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes]] = []
-        for batch in batches:
-            at = {c: batch.schema.get_field_index(c) for c in ("ids", "train", "x", "y", "late")}
-            for i in range(batch.num_rows):
-                x, y = (batch.column(at[c])[i].as_py() for c in "xy")
-                if not batch.column(at["late"])[i].as_py():
-                    held.append((x, y))
-                    continue
-                ids, learned = (batch.column(at[c])[i].values for c in ("ids", "train"))
-                offsets = np.frombuffer(y, np.int64)
-                found = analyse(Block(slice(0, len(ids)), np.frombuffer(x, np.uint8), offsets), contexts)
-                counts, pair_counts = (np.concatenate([_wide(h[j]) for h in held]) for j in (0, 1))
-                held = []
-                if len(counts) != len(found.words) or len(pair_counts) != len(found.pairs):
-                    raise ValueError("the table's partitions changed between two readings")
-                base, tree = token_scores(found, counts, pair_counts, model)
-                n = len(ids)
-                per = [np.bincount(found.document, minlength=n), np.bincount(found.document, counts[found.word_of] > 0, minlength=n).astype(np.int64), np.full(n, model.total)]
-                sums = [np.bincount(found.document, w, minlength=n) for w in (base, tree)]
-                yield pa.RecordBatch.from_arrays([ids, learned, *(pa.array(p.astype(np.int64)) for p in per), *(pa.array(s, pa.float64()) for s in sums)], names=names)
-
-    return dealt.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for _, of, walk in walks(batches, folder, depth + 1, rule):
+            n = of.num_rows
+            total_of = lambda values: np.bincount(walk.document, values, minlength=n)
+            whole = [total_of(None), total_of(walk.known), np.full(n, rule.total)]
+            yield pa.RecordBatch.from_arrays(
+                [of.column(0), of.column(2), *(pa.array(x.astype(np.int64)) for x in whole), pa.array(total_of(walk.base), pa.float64()), pa.array(total_of(np.log10(walk.p)), pa.float64())], names=names
+            )
+
+    return rows.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

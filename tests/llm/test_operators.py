@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, queries, suffix_tree, top_k, url_filters, warc
+from graphloom.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, queries, top_k, url_filters, warc
 from graphloom.llm.textblocks import blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -174,34 +173,6 @@ def test_chat(spark):
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
-def test_suffix_tree(docs, spark):
-    train = queries.crc_of_id(10) != 0
-    got = suffix_tree.score(docs, train).collect()
-    known, total = Counter(), 0
-    for key, text, *_ in ROWS:
-        if key is None or zlib.crc32(str(key).encode()) % 10:
-            known.update([*words(lower(text)), None])
-    total = sum(known.values())
-    assert len(got) == len(ROWS) and {r["train_tokens"] for r in got} == {total}
-    by_id = {r["doc_id"]: r for r in got}
-    for key, text, *_ in ROWS:
-        tokens = [*words(lower(text)), None]
-        want = sum(math.log10((known[t] + 0.1) / (total + 0.1 * (len(known) + 1))) for t in tokens)
-        assert by_id[key]["n_tokens"] == len(tokens) and by_id[key]["n_known"] == sum(known[t] > 0 for t in tokens)
-        assert abs(by_id[key]["base_score"] - want) < 1e-6 * abs(want) + 1e-9
-    assert by_id[8]["score"] > by_id[8]["base_score"]
-    assert suffix_tree.score(docs.limit(0), train).count() == 0
-    assert {r["score"] for r in suffix_tree.score(docs, F.lit(False)).where("n_tokens = 1").collect()} == {0.0}
-
-
-def test_counting_all_contexts_gives_the_same(docs, monkeypatch):
-    rows = docs.select("text", F.lit(True).alias("train"))
-    some, n = suffix_tree.candidate_contexts(rows, 1e-3, 5)
-    monkeypatch.setattr(suffix_tree, "MOST_CANDIDATES", 0)
-    every, m = suffix_tree.candidate_contexts(rows, 1e-3, 5)
-    assert n == m and some.one.tolist() == every.one.tolist() and some.two.tolist() == every.two.tolist()
-
-
 def test_measures(docs, labels):
     got = {r["doc_id"]: r for r in quality_rules.measured_with_verdict(docs, labels).collect()}
     for key, text, *_ in ROWS:
