@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.textblocks import LOWER, SpanHasher, blocks, mix
+from graphloom.llm.textblocks import LOWER, blocks, mix, word_hashes
 
 BLOCK = 1 << 20
 #: Shingles for each partition of signatures.
@@ -45,7 +45,7 @@ def document_sets(block, n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document of a block."""
     data = LOWER[block.data]
     starts, ends, first = block.words(data)
-    words = SpanHasher(data)(starts, ends)
+    words = word_hashes(data, starts, ends)
     keys = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
     for i in range(n):
         keys = keys * _ODD + words[i : i + len(keys)]

@@ -31,13 +31,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def deal(rows: DataFrame, folder: str, *order: str) -> None:
+def deal(rows: DataFrame, folder: str, *order: str, spread: tuple[str, ...] = ()) -> None:
     """Writes ``rows`` (with ``scan``, the partition's number) so that each partition has a folder of its own.
 
-    Rows of partition -1 are for the driver; they are spread by their column ``part``.
+    Rows of partition -1 are for the driver; they are spread by the columns ``spread``.
     """
-    spread = [F.when(F.col("scan") < 0, F.col("part"))] if "part" in rows.columns else []
-    rows.repartition("scan", *spread).sortWithinPartitions("scan", *order).write.partitionBy("scan").parquet(folder)
+    salt = [F.when(F.col("scan") < 0, F.xxhash64(*spread))] if spread else []
+    rows.repartition("scan", *salt).sortWithinPartitions("scan", *order).write.partitionBy("scan").parquet(folder)
 
 
 def dealt_to(folder: str, scan: int | None = None) -> pa.Table | None:

@@ -25,21 +25,21 @@ are ignored, repeated rows count each, an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import sidecar
-from graphloom.llm.textblocks import LOWER, Block, SpanHasher, blocks, mix
+from graphloom.llm.textblocks import LOWER, Block, blocks, mix, word_hashes
 
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 #: Bytes of text for each part of the hash space.
 PART_BYTES = 16 << 20
 DEPTH, LEAST_COUNT, LEAST_DIVERGENCE = 4, 2, 0.02
@@ -54,17 +54,32 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[block.data]
     starts, ends, first = block.words(data)
     out = np.full(len(starts) + block.size, _END, dtype=np.uint64)
-    out[np.arange(len(starts)) + np.repeat(np.arange(block.size), np.diff(first))] = SpanHasher(data)(starts, ends)
+    out[np.arange(len(starts)) + np.repeat(np.arange(block.size), np.diff(first))] = word_hashes(data, starts, ends)
     return out, first + np.arange(block.size + 1)
 
 
+_pack, _unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
 def _narrow(values: np.ndarray) -> bytes:
-    wide = len(values) and int(values.max()) >> 32
-    return (b"w" if wide else b"n") + zlib.compress(values.astype(np.uint64 if wide else np.uint32).tobytes(), 1)
+    most = int(values.max()) if len(values) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + _pack(values.astype(f"<u{width}").tobytes())
 
 
 def _wide(values: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(values[1:]), np.uint64 if values[:1] == b"w" else np.uint32).astype(np.int64)
+    return np.frombuffer(_unpack(values[1:]), f"<u{values[0]}").astype(np.int64)
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Stable order by the first key, then the next: 16 bits at a time, for which numpy has a radix sort."""
+    out = None
+    for key in reversed(keys):
+        most = int(key.max()) if len(key) else 0
+        for shift in range(0, max(1, most.bit_length()), 16):
+            digit = (key >> shift).astype(np.uint16)
+            out = np.argsort(digit, kind="stable") if out is None else out[np.argsort(digit[out], kind="stable")]
+    return out
 
 
 @dataclass
@@ -85,8 +100,11 @@ class Level:
     def __init__(self, at: np.ndarray, of: np.ndarray, size: int, hashes: np.ndarray, learned: np.ndarray) -> None:
         self.at, self.of, self.hashes = at, of, hashes
         #: For each token the place of its pair, or -1.
-        self.pair = np.full(size, -1, dtype=np.int64)
-        self.pair[at] = of
+        if len(at) == size:
+            self.pair = of
+        else:
+            self.pair = np.full(size, -1, dtype=np.int64)
+            self.pair[at] = of
         self.learned = np.bincount(of[learned], minlength=len(hashes))
 
 
@@ -102,7 +120,7 @@ class Walk:
         self.learned = train[self.document]
         self.level = level = Level(np.arange(self.size), self.word, self.size, self.words, self.learned)
         level.part = (self.words >> np.uint64(64 - rule.shift)).astype(np.int64)
-        level.order = np.argsort(level.part, kind="stable")
+        level.order = _order(level.part)
         self.n = 0
 
     def take(self, counts: np.ndarray, kinds: np.ndarray) -> None:
@@ -133,30 +151,36 @@ class Walk:
     def deepen(self) -> None:
         """The pairs with contexts one word longer."""
         above, rule = self.level, self.rule
-        at = self.inside
-        context, same = above.pair[at - 1], above.pair[at]
-        some = np.flatnonzero((context >= 0) & (same >= 0))
-        some = some[(above.count[context[some]] >= rule.least_count) & (above.kinds[same[some]] >= 2)]
-        at = at[some]
+        often = above.count >= rule.least_count
+        if not self.n:
+            at = self.inside[often[above.pair[self.inside - 1]]]
+        else:
+            # the pair before ends the longer context, and the suffix must be a state with a choice
+            at = above.at[(above.kinds >= 2)[above.of]]
+            before = above.pair[at - 1]
+            at = at[(before >= 0) & often[before]]
         n_words = max(1, len(self.words))
         of, keys = pd.factorize(above.pair[at - 1] * n_words + self.word[at])
-        context, word = keys // n_words, keys % n_words
-        hashes = above.hashes[context]
-        self.level = level = Level(at, of, self.size, mix(hashes * _ODD + self.words[word]), self.learned[at])
-        level.context, level.of_context = hashes, above.count[context]
+        context = keys // n_words
+        word = keys - context * n_words
+        hashes, level_next = above.hashes[context], self.words[word]
+        self.level = level = Level(at, of, self.size, mix(hashes * _ODD + level_next), self.learned[at])
+        level.context, level.of_context, level.next = hashes, above.count[context], level_next
         one = np.empty(len(keys), dtype=np.int64)
-        one[of[::-1]] = at[::-1]
-        level.suffix = above.pair[one]
-        level.above, level.of_above = above.count[level.suffix], above.of_context[level.suffix]
-        level.next = self.words[word]
-        split = level.of_context // rule.hot_count + 1
-        bucket = (level.next >> np.uint64(40)) % split.astype(np.uint64)
-        level.part = (mix(hashes + bucket * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - rule.shift)).astype(np.int64)
-        group = level.part * max(1, len(above.hashes)) + context
-        level.order = np.argsort(group, kind="stable")
-        group = group[level.order]
-        level.starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        level.sizes = np.diff(np.append(level.starts, len(group)))
+        one[of] = at
+        suffix = above.pair[one]
+        level.above, level.of_above = above.count[suffix], above.of_context[suffix]
+        level.part = (mix(above.hashes) >> np.uint64(64 - rule.shift)).astype(np.int64)[context]
+        hot = np.flatnonzero(level.of_context >= rule.hot_count)
+        if len(hot):
+            bucket = (level.next[hot] >> np.uint64(40)) % (level.of_context[hot] // rule.hot_count + 1).astype(np.uint64)
+            level.part[hot] = mix(hashes[hot] + bucket * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - rule.shift)
+        level.order = _order(level.part, context)
+        part, context = level.part[level.order], context[level.order]
+        fresh = np.ones(len(keys), dtype=bool)
+        fresh[1:] = (part[1:] != part[:-1]) | (context[1:] != context[:-1])
+        level.starts = np.flatnonzero(fresh)
+        level.sizes = np.diff(np.append(level.starts, len(keys)))
         self.n += 1
 
     def messages(self) -> Iterator[tuple[int, tuple[bytes, ...]]]:
@@ -349,7 +373,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, least_count: int =
             return told, [(0, total, vocabulary, 0, 0, 0)]
 
         path = f"{folder}/{number}"
-        sidecar.deal(_answers(_messages(rows, folder, number, rule), work, 1 << shift), path, "block", "part")
+        sidecar.deal(_answers(_messages(rows, folder, number, rule), work, 1 << shift), path, "block", "part", spread=("part", "a", "b"))
         mine = _for_driver(rows, path)
         if not number:
             total, vocabulary = (int(x or 0) for x in mine.agg(F.sum("n"), F.sum("above")).first())

@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
@@ -54,7 +55,7 @@ _kept_powers = lru_cache(maxsize=1)(_make_powers)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _kept_powers(_KEPT) if n <= _KEPT else _make_powers(n)
+    return _kept_powers(-(-n // _KEPT) * _KEPT) if n <= 3 * _KEPT else _make_powers(n)
 
 
 class SpanHasher:
@@ -71,6 +72,28 @@ class SpanHasher:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
 
 
+#: The low bytes of a 64-bit number.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_LONG = 128
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of short spans, eight bytes at a time; equal spans hash alike in every block."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = ends - starts
+    out = mix(left.astype(np.uint64) * np.uint64(_ODD) + (eight[starts] & _LOW[np.minimum(left, 8)]))
+    for done in range(8, _LONG, 8):
+        some = np.flatnonzero(left > done)
+        if not len(some):
+            break
+        out[some] = mix(out[some] * _BASE + (eight[starts[some] + done] & _LOW[np.minimum(left[some] - done, 8)]))
+    for i in np.flatnonzero(left > _LONG).tolist():
+        out[i] ^= np.uint64(xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes()))
+    return out
+
+
 @dataclass
 class Block:
     """``rows``: the slice of the batch; ``offsets``: one more than there are documents."""

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, queries, top_k, url_filters, warc
+from graphloom.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, queries, textblocks, top_k, url_filters, warc
 from graphloom.llm.textblocks import blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -339,3 +339,16 @@ def test_pipeline(spark):
     empty = queries.table(spark, "/root/testdata/sf0.001", "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_word_hashes_depend_on_the_bytes_alone():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abü") for _ in range(rng.choice((1, 2, 7, 8, 9, 16, 17, 127, 128, 129, 400)))) for _ in range(300)]
+    texts += ["a" * n for n in range(1, 300)]
+    found = {}
+    for line in (" ".join(texts), "x " + " \n".join(reversed(texts))):
+        (block,) = blocks(pa.array([line]))
+        starts, ends, _ = block.words()
+        for a, b, h in zip(starts, ends, textblocks.word_hashes(block.data, starts, ends).tolist(), strict=True):
+            assert found.setdefault(block.data[a:b].tobytes(), h) == h
+    assert len(set(found.values())) == len(found)
