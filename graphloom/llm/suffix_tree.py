@@ -95,17 +95,17 @@ class Rule:
 
 
 class Level:
-    """The distinct (context, word) pairs of one context length in a block, in the order of their messages."""
+    """The distinct (context, word) pairs of one context length in a block, by numbers in the order of their first places."""
 
-    def __init__(self, at: np.ndarray, of: np.ndarray, size: int, hashes: np.ndarray, learned: np.ndarray) -> None:
+    def __init__(self, at: np.ndarray, of: np.ndarray, size: int, hashes: np.ndarray) -> None:
+        #: Tokens that have a pair, and whose it is.
         self.at, self.of, self.hashes = at, of, hashes
-        #: For each token the place of its pair, or -1.
+        #: For each token the number of its pair, or -1.
         if len(at) == size:
             self.pair = of
         else:
             self.pair = np.full(size, -1, dtype=np.int64)
             self.pair[at] = of
-        self.learned = np.bincount(of[learned], minlength=len(hashes))
 
 
 class Walk:
@@ -113,92 +113,108 @@ class Walk:
 
     def __init__(self, block: Block, train: np.ndarray, rule: Rule) -> None:
         every, first = tokens(block)
-        self.rule, self.size = rule, len(every)
+        self.rule, self.size, self.train, self.first = rule, len(every), train, first
         self.word, self.words = pd.factorize(every)
-        self.document = np.repeat(np.arange(block.size), np.diff(first))
-        self.inside = np.flatnonzero(np.arange(self.size) > first[self.document])
-        self.learned = train[self.document]
-        self.level = level = Level(np.arange(self.size), self.word, self.size, self.words, self.learned)
+        inside = np.ones(self.size, dtype=bool)
+        inside[first[:-1]] = False
+        self.inside = np.flatnonzero(inside)
+        level = Level(np.arange(self.size), self.word, self.size, self.words)
         level.part = (self.words >> np.uint64(64 - rule.shift)).astype(np.int64)
         level.order = _order(level.part)
-        self.n = 0
+        self.levels = [level]
 
     def take(self, counts: np.ndarray, kinds: np.ndarray) -> None:
-        """The answers to the present length's messages: pairs' counts, contexts' successors (0: no state)."""
-        level, rule = self.level, self.rule
+        """The answers to the last length's messages: pairs' counts, contexts' successors (0: no state)."""
+        level, rule = self.levels[-1], self.rule
         if len(counts) != len(level.hashes):
             raise ValueError("the table's partitions changed between two readings")
         level.count = np.empty(len(level.hashes), dtype=np.int64)
         level.count[level.order] = counts
-        if not self.n:
+        if len(self.levels) == 1:
             level.of_context = np.full(len(level.hashes), rule.total)
-            level.kinds = np.full(len(level.hashes), 2)
-            self.p = (level.count + ADDED)[self.word] / (rule.total + ADDED * (rule.vocabulary + 1))
-            self.base = np.log10(self.p)
-            self.known = level.count[self.word] > 0
             return
         level.kinds = np.empty(len(level.hashes), dtype=np.int64)
         level.kinds[level.order] = np.repeat(kinds, level.sizes)
         hot = np.flatnonzero(level.of_context >= rule.hot_count)
         if len(hot):
-            keys, of = rule.hot[self.n - 1]
-            place = np.minimum(np.searchsorted(keys, level.context[hot]), max(0, len(keys) - 1))
-            level.kinds[hot] = np.where(keys[place] == level.context[hot], of[place], 0) if len(keys) else 0
-        kinds = level.kinds[level.of]
-        of, at, kinds = level.of[kinds > 0], level.at[kinds > 0], kinds[kinds > 0]
-        self.p[at] = (level.count[of] + kinds * self.p[at]) / (level.of_context[of] + kinds)
+            keys, of = rule.hot[len(self.levels) - 2]
+            contexts = self.levels[-2].hashes[level.context[hot]]
+            place = np.minimum(np.searchsorted(keys, contexts), max(0, len(keys) - 1))
+            level.kinds[hot] = np.where(keys[place] == contexts, of[place], 0) if len(keys) else 0
 
     def deepen(self) -> None:
         """The pairs with contexts one word longer."""
-        above, rule = self.level, self.rule
+        above, rule = self.levels[-1], self.rule
         often = above.count >= rule.least_count
-        if not self.n:
+        if len(self.levels) == 1:
             at = self.inside[often[above.pair[self.inside - 1]]]
+            before = above.pair[at - 1]
         else:
             # the pair before ends the longer context, and the suffix must be a state with a choice
             at = above.at[(above.kinds >= 2)[above.of]]
             before = above.pair[at - 1]
-            at = at[(before >= 0) & often[before]]
+            some = (before >= 0) & often[before]
+            at, before = at[some], before[some]
         n_words = max(1, len(self.words))
-        of, keys = pd.factorize(above.pair[at - 1] * n_words + self.word[at])
+        of, keys = pd.factorize(before * n_words + self.word[at])
         context = keys // n_words
         word = keys - context * n_words
-        hashes, level_next = above.hashes[context], self.words[word]
-        self.level = level = Level(at, of, self.size, mix(hashes * _ODD + level_next), self.learned[at])
-        level.context, level.of_context, level.next = hashes, above.count[context], level_next
-        one = np.empty(len(keys), dtype=np.int64)
-        one[of] = at
-        suffix = above.pair[one]
-        level.above, level.of_above = above.count[suffix], above.of_context[suffix]
+        level = Level(at, of, self.size, mix(above.hashes[context] * _ODD + self.words[word]))
+        level.context, level.word, level.of_context = context, word, above.count[context]
         level.part = (mix(above.hashes) >> np.uint64(64 - rule.shift)).astype(np.int64)[context]
         hot = np.flatnonzero(level.of_context >= rule.hot_count)
         if len(hot):
-            bucket = (level.next[hot] >> np.uint64(40)) % (level.of_context[hot] // rule.hot_count + 1).astype(np.uint64)
-            level.part[hot] = mix(hashes[hot] + bucket * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - rule.shift)
+            bucket = (self.words[word[hot]] >> np.uint64(40)) % (level.of_context[hot] // rule.hot_count + 1).astype(np.uint64)
+            level.part[hot] = mix(above.hashes[context[hot]] + bucket * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - rule.shift)
         level.order = _order(level.part, context)
         part, context = level.part[level.order], context[level.order]
         fresh = np.ones(len(keys), dtype=bool)
         fresh[1:] = (part[1:] != part[:-1]) | (context[1:] != context[:-1])
         level.starts = np.flatnonzero(fresh)
         level.sizes = np.diff(np.append(level.starts, len(keys)))
-        self.n += 1
+        self.levels.append(level)
+
+    def suffixes(self, n: int) -> np.ndarray:
+        """For each pair of length ``n``, that with the context one word shorter."""
+        level = self.levels[n]
+        one = np.empty(len(level.hashes), dtype=np.int64)
+        one[level.of] = level.at
+        return self.levels[n - 1].pair[one]
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: whether it is known, and its log10 probabilities by the base model and by the tree."""
+        words = self.levels[0]
+        p = (words.count + ADDED) / (self.rule.total + ADDED * (self.rule.vocabulary + 1))
+        base = np.log10(p)[self.word]
+        tree = base.copy()
+        for n, level in enumerate(self.levels[1:], 1):
+            p = p[self.suffixes(n)]
+            state = level.kinds > 0
+            p[state] = ((level.count + level.kinds * p) / np.maximum(level.of_context + level.kinds, 1))[state]
+            tree[level.at] = np.log10(p)[level.of]
+        return (words.count > 0)[self.word], base, tree
 
     def messages(self) -> Iterator[tuple[int, tuple[bytes, ...]]]:
         """For each part: of words, hashes and counts; of pairs, the contexts and what follows them."""
-        level = self.level
+        n = len(self.levels) - 1
+        level = self.levels[n]
+        learned = np.bincount(level.of[np.repeat(self.train, np.diff(self.first))[level.at]], minlength=len(level.hashes))
         part = level.part[level.order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist() if len(part) else [0]
+        if n:
+            above = self.levels[n - 1]
+            contexts, suffixes = above.hashes[level.context], self.suffixes(n)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             pairs = level.order[a:b]
-            if not self.n:
-                yield int(part[a]), (level.hashes[pairs].tobytes(), _narrow(level.learned[pairs]), b"", b"", b"", b"", b"", b"")
+            if not n:
+                yield int(part[a]), (level.hashes[pairs].tobytes(), _narrow(learned[pairs]), b"", b"", b"", b"", b"", b"")
                 continue
             x, y = np.searchsorted(level.starts, [a, b])
             heads = level.order[level.starts[x:y]]
-            words = level.next[pairs]
+            words = self.words[level.word[pairs]]
             yield int(part[a]), (
-                level.context[heads].tobytes(), _narrow(level.learned[pairs]), _narrow(level.sizes[x:y]), _narrow(level.of_context[heads]), _narrow(level.of_above[heads]),
-                words.astype(np.uint32).tobytes(), ((words >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), _narrow(level.above[pairs]),
+                contexts[heads].tobytes(), _narrow(learned[pairs]), _narrow(level.sizes[x:y]), _narrow(level.of_context[heads]), _narrow(above.of_context[suffixes[heads]]),
+                words.astype(np.uint32).tobytes(), ((words >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), _narrow(above.count[suffixes[pairs]]),
             )
 
 
@@ -385,11 +401,10 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, least_count: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, of, walk in walks(batches, folder, depth + 1, rule):
-            n = of.num_rows
-            total_of = lambda values: np.bincount(walk.document, values, minlength=n)
-            whole = [total_of(None), total_of(walk.known), np.full(n, rule.total)]
-            yield pa.RecordBatch.from_arrays(
-                [of.column(0), of.column(2), *(pa.array(x.astype(np.int64)) for x in whole), pa.array(total_of(walk.base), pa.float64()), pa.array(total_of(np.log10(walk.p)), pa.float64())], names=names
-            )
+            known, base, tree = walk.scores()
+            # every text has a token, its closing symbol
+            whole = [np.diff(walk.first), np.add.reduceat(known, walk.first[:-1], dtype=np.int64), np.full(of.num_rows, rule.total)]
+            sums = [np.add.reduceat(x, walk.first[:-1]) for x in (base, tree)]
+            yield pa.RecordBatch.from_arrays([of.column(0), of.column(2), *(pa.array(x.astype(np.int64)) for x in whole), *(pa.array(x, pa.float64()) for x in sums)], names=names)
 
     return rows.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

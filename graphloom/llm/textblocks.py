@@ -109,17 +109,15 @@ class Block:
     def words(self, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words, and the index of each document's first (one more at the end)."""
         data = self.data if data is None else data
-        inside = ~SPACE[data]
-        first = np.zeros(len(data) + 1, dtype=bool)
-        first[self.offsets] = True
-        before = np.empty_like(inside)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        starts = np.flatnonzero(inside & (~before | first[:-1]))
-        after = np.empty_like(inside)
-        after[-1:] = False
-        after[:-1] = inside[1:]
-        ends = np.flatnonzero(inside & (~after | first[1:])) + 1
+        space = np.ones(len(data) + 2, dtype=bool)
+        space[1:-1] = SPACE[data]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        # a document may begin right after the last word of the one before
+        inner = np.unique(self.offsets[1:-1])
+        cut = inner[~space[inner] & ~space[inner + 1]]
+        if len(cut):
+            starts, ends = np.insert(starts, np.searchsorted(starts, cut), cut), np.insert(ends, np.searchsorted(ends, cut), cut)
         return starts, ends, np.searchsorted(starts, self.offsets)
 
 
