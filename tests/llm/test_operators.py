@@ -156,6 +156,97 @@ def test_sum_of_squares_choice():
     assert packer.n_open == 0 and packer.next == 2
 
 
+@pytest.mark.parametrize(("window", "seed"), [(16, 1), (64, 2), (100, 3)])
+def test_every_choice_is_the_least_sum_of_squares(window, seed):
+    rng = random.Random(seed)
+    packer = packing.Packer(window, 0)
+    for i in range(600):
+        size = rng.randrange(1, window)
+        before = {level: len(held) for level, held in packer.open.items() if held}
+        packer.add(i, np.zeros(size, dtype=np.uint32))
+
+        def squares(level, size=size, before=before):
+            counts = Counter(before)
+            if level:
+                counts[level] -= 1
+            if level + size < window:
+                counts[level + size] += 1
+            return sum(c * c for c in counts.values())
+
+        choices = {level: squares(level) for level in (0, *before) if level + size <= window}
+        least = min(choices.values())
+        counts = Counter({level: len(held) for level, held in packer.open.items() if held})
+        assert sum(c * c for c in counts.values()) == least
+        fullest = max(level for level, s in choices.items() if s == least)
+        want = Counter(before)
+        if fullest:
+            want[fullest] -= 1
+        if fullest + size < window:
+            want[fullest + size] += 1
+        assert +want == counts
+
+
+def test_closing_moves_only_the_emptiest_windows():
+    rng = random.Random(8)
+    packer = packing.Packer(256, 0)
+    sizes = [rng.randrange(1, 900) for _ in range(700)]
+    for i, n in enumerate(sizes):
+        packer.add(i, np.full(n, i, dtype=np.uint32))
+    held = packer.take_open()
+    levels = sorted((sum(len(p[2]) for p in w) for w in held), reverse=True)
+    for w in held:
+        packer.open.setdefault(sum(len(p[2]) for p in w), []).append(w)
+    packer.close()
+    kept = next(k for k in range(len(levels) + 1) if sum(256 - x for x in levels[:k]) >= sum(levels[k:]) or k == len(levels))
+    assert packer.moved <= sum(levels[kept - 1 :])
+    parts, lengths = {}, Counter()
+    for doc, start, n, ids, total, sequence, offset in packer.pieces:
+        assert total == sizes[doc] and len(ids) == 4 * n and offset == lengths[sequence]
+        lengths[sequence] += n
+        parts.setdefault(doc, []).append((start, n))
+    assert all(n == 256 or n & (n - 1) == 0 for n in lengths.values()) and sum(n < 256 for n in lengths.values()) <= 8
+    for doc, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(parts[doc]):
+            assert start == at
+            at += length
+        assert at == n
+
+
+def test_closing_takes_few_ids_out_of_their_windows(spark):
+    """Eight tasks over rests of random size: the rule places nearly all for good, since groups place the rests again."""
+    rng = random.Random(6)
+    groups = packing.Packer(1024, 0)
+    rests = []
+    for _ in range(8):
+        task = packing.Packer(1024, 0)
+        for i in range(1200):
+            task.add(i, np.zeros(rng.randrange(1, 1600), dtype=np.uint32))
+        rests += [p for held in task.take_open() for p in held]
+    for doc, start, ids, total in sorted(rests, key=lambda p: -len(p[2])):
+        groups.place(doc, start, ids, total)
+    groups.close()
+    assert groups.moved < 0.05 * groups.placed
+
+
+@pytest.mark.parametrize("most_open", [4096, 1])
+def test_packing_in_groups(spark, monkeypatch, most_open):
+    queries.prepare(spark)
+    monkeypatch.setattr(packing, "MOST_OPEN", most_open)
+    path = public_tokenizers.path(queries.TOKENIZER)
+    df = spark.createDataFrame([(i, "a b " * (i % 37)) for i in range(300)], "doc_id long, text string").repartition(20)
+    rows = packing.pack(df, path, window=64).collect()
+    lengths, parts = Counter(), {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == lengths[r["sequence_id"]]
+        lengths[r["sequence_id"]] += r["length"]
+        parts.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    assert all(n == 64 or n & (n - 1) == 0 for n in lengths.values())
+    for doc in parts.values():
+        assert sum(n for _, n, _ in doc) == doc[0][2]
+    assert len(parts) == 300 and sum(n < 64 for n in lengths.values()) <= 2 * 6 * (1 if most_open > 1 else 300)
+
+
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [(1, 0, "system", "be brief"), (1, 2, "assistant", said * 30), (1, 1, "user", "hi ### there"), (1, 3, "user", None), (1, 4, "assistant", "####\\\\ </turn>\n"), (1, 4, "assistant", "####\\\\ </turn>\n"), (2, None, None, ""), (None, 5, "a:b\\", "x"), (3, 0, "assistant", "w " * 3000)]
