@@ -73,8 +73,9 @@ def test_classifier(docs, labels, spark):
     network = quality_classifier.train(docs, labels, F.lit(True), per_class=5)
     scored = quality_classifier.score(docs, network).collect()
     assert len(scored) == len(ROWS) and all(0 <= r["score"] <= 1 for r in scored)
-    kept = quality_classifier.keep_documents(docs, labels, F.lit(True))
-    assert kept.columns == docs.columns
+    clashing = docs.withColumn("Quality_Score", F.lit(1.0)).withColumn("quality", F.lit("x"))
+    kept = quality_classifier.keep_documents(clashing, labels, F.lit(True))
+    assert kept.columns == clashing.columns and {r["Quality_Score"] for r in kept.collect()} <= {1.0}
     assert quality_classifier.score(docs.limit(0), network).count() == 0
     none = quality_classifier.train(docs, labels.limit(0), F.lit(True))
     assert {r["score"] for r in quality_classifier.score(docs, none).collect()} == {0.5}
@@ -85,7 +86,7 @@ def test_classifier_covers_whole_texts():
     rng = np.random.default_rng(1)
     good = [" ".join(rng.choice(["river", "stone", "walk", "night", "blue"], 80)).encode() for _ in range(60)]
     bad = [b"".join(bytes(rng.integers(33, 48, 4).astype(np.uint8)) + b"!! " for _ in range(90)) for _ in range(60)]
-    net = quality_classifier.fit(good + bad, np.repeat([1, 0], 60), steps=150)
+    net = quality_classifier.fit([quality_classifier.chunks_of(t) for t in good + bad], np.repeat([1, 0], 60), steps=150)
     col = pa.array([t.decode() for t in good[:20] + bad[:20]])
     got = np.concatenate([net.scores(b.data, b.offsets) for b in blocks(col)])
     assert (got[:20] >= 0.5).all() and (got[20:] < 0.5).all()
@@ -94,6 +95,93 @@ def test_classifier_covers_whole_texts():
     assert covered >= set(range(5000))
 
 
+def random_network(seed):
+    rng = np.random.default_rng(seed)
+    q = quality_classifier
+    return q.Network(rng.normal(0, 0.5, (257, q.EMBED)).astype(np.float32), rng.normal(0, 0.2, (q.WIDTH * q.EMBED, q.FILTERS)).astype(np.float32), rng.normal(0, 0.1, q.FILTERS).astype(np.float32), rng.normal(0, 0.3, q.FILTERS + 2), 0.1)
+
+
+def plain_score(net, text):
+    """The network by plain loops over chunks, positions and filters."""
+    q, features = quality_classifier, []
+    at = 0
+    while True:
+        piece = text[at : at + q.CHUNK]
+        codes = [*piece, *[256] * (q.CHUNK - len(piece))]
+        tops = []
+        for f in range(q.FILTERS):
+            best = -math.inf
+            for p in range(0, q.CHUNK - q.WIDTH + 1, q.STRIDE):
+                best = max(best, sum(float(net.embedding[codes[p + w]] @ net.filters[w * q.EMBED : (w + 1) * q.EMBED, f]) for w in range(q.WIDTH)))
+            tops.append(max(0.0, best + float(net.bias[f])))
+        features.append([*tops, 1 - len(piece) / q.CHUNK, 40 / (40 + len(piece))])
+        if at + q.CHUNK >= len(text):
+            break
+        at += q.STEP
+    z = sum(w * sum(f[i] for f in features) / len(features) for i, w in enumerate(net.weights)) + net.offset
+    return 1 / (1 + math.exp(-z))
+
+
+def test_classifier_scores_equal_plain_loops(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "FILTERS", 3)
+    net = random_network(1)
+    texts = ["", "short", "ü" * 300, " ".join(f"word{i}" for i in range(150)), "x" * 512, "y" * 513, "z" * 896]
+    (block,) = blocks(pa.array(texts))
+    for text, got in zip(texts, net.scores(block.data, block.offsets), strict=True):
+        assert got == pytest.approx(plain_score(net, text.encode()), rel=1e-5)
+
+
+def test_classifier_gradients_equal_differences(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "FILTERS", 4)
+    q, net = quality_classifier, random_network(2)
+    for name in ("embedding", "filters", "bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    rng = np.random.default_rng(3)
+    chunks = rng.integers(97, 123, (6, q.CHUNK)).astype(np.int16)
+    chunks[1, 100:] = 256
+    share, y, weight = np.array([0.5, 0.5, 1.0, 0.0, 0.5, 0.5]), np.array([1.0, 0.0, 1.0]), np.array([1.5, 1.0, 1.5])
+
+    def loss():
+        top = np.maximum(net.pooled(chunks)[1].max(axis=1) + net.bias, 0)
+        feature = (np.hstack([top, q.emptiness((chunks < 256).sum(axis=1))]) * share[:, None]).reshape(3, 2, -1).sum(axis=1)
+        p = 1 / (1 + np.exp(-(feature @ net.weights + net.offset)))
+        return float(np.mean(weight * -(y * np.log(p) + (1 - y) * np.log(1 - p)))) + q.DECAY / 2 * float(net.weights @ net.weights)
+
+    grads = q.gradients(net, chunks, share, y, weight)
+    for name, places in {"weights": [(0,), (3,), (5,)], "bias": [(0,), (2,)], "filters": [(0, 0), (17, 2), (63, 3)], "embedding": [(97, 0), (110, 5), (256, 1)]}.items():
+        value = getattr(net, name)
+        for at in places:
+            old, ends = value[at], []
+            for step in (1e-6, -1e-6):
+                value[at] = old + step
+                ends.append(loss())
+            value[at] = old
+            assert grads[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-6, rel=1e-3, abs=1e-8), (name, at)
+    net.offset, old = net.offset + 1e-6, net.offset
+    above = loss()
+    net.offset = old - 1e-6
+    assert grads["offset"] == pytest.approx((above - loss()) / 2e-6, rel=1e-3)
+
+
+def test_training_draws_chunks_of_whole_texts(spark, monkeypatch):
+    queries.prepare(spark)
+    monkeypatch.setattr(quality_classifier, "TRAIN_CHUNKS", 20)
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda texts, labels: seen.append((texts, labels)))
+    long = "".join(f"{i:06d} " for i in range(20_000))
+    df = spark.createDataFrame([(1, long), (2, "ü" * 700), (2, "other"), (3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    for rows in (df, df.orderBy(F.desc("text"))):
+        quality_classifier.train(rows, marks, F.lit(True))
+    (texts, labels), again = seen
+    assert texts == again[0] and labels.tolist() == [1, 0, 0]
+    assert texts[1] in (quality_classifier.chunks_of(("ü" * 700).encode()), [b"other"]) and texts[2] == [b""]
+    starts = sorted(long.encode().index(c) for c in texts[0])
+    assert len(starts) == 20 and all(s % quality_classifier.STEP == 0 for s in starts)
+    # the middle is drawn from as well as the ends
+    assert starts[0] < 0.3 * len(long) and starts[-1] > 0.7 * len(long) and any(0.3 * len(long) < s < 0.7 * len(long) for s in starts)
+
+
 def test_top_k(spark):
     queries.prepare(spark)
     rng = np.random.default_rng(3)
