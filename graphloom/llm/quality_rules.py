@@ -2,33 +2,40 @@
 
 A document has a few measurements, each higher for worse text. Per stratum (language, by
 default) and per rule, cutoffs of a fixed grid are tested from lenient to strict on the labelled
-good documents: a cutoff is certified while the exact (Clopper-Pearson) upper bound of its false
-rejection rate stays at or below ``alpha / number of rules``. The grid is walked in a fixed order
-and stops at the first failure, so a walk costs one test; the walks of all strata and rules share
-``delta`` evenly (Bonferroni). Hence, with probability ``1 - delta``, in every stratum all rules
-together reject at most ``alpha`` of the good documents. Of the certified cutoffs the one that
-catches most bad documents is used, the most lenient in a tie. A stratum with too few good
-labels to certify anything gets no cutoff.
-
-Empty tables, null texts (no words), null strata (stratum ``other``), labels without a document
-and repeated labels are fine; extra columns are ignored.
+good documents that pass the base rule: a cutoff is certified while the exact (Clopper-Pearson)
+upper bound of its false rejection rate stays at or below ``alpha / number of rules``. The grid is
+walked in a fixed order and stops at the first failure, so a walk costs one test; the walks of all
+strata and rules share ``delta`` evenly (Bonferroni). Hence, with probability ``1 - delta``, in
+every stratum all cutoffs together reject at most ``alpha`` of the good documents that pass the
+base rule (which is given, not learnt, and has no such limit). All certified cutoffs hold at once,
+so any may be chosen: the one that catches most bad documents is used, the most lenient in a tie.
+
+The strata are those of the labelled documents in which enough are good to certify anything; the
+others have no cutoff. Labels must not have been used to choose what is measured (in the pipeline,
+the classifier's training labels are left out).
+
+A document is one trial: repeated rows of an id count once, at their highest measurement of each
+rule and in their smallest stratum, and repeated labels at the lowest quality. Empty tables, null
+texts (no words; texts of any length are measured whole), null strata (a stratum of their own),
+null ids and labels without a document are fine; extra columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from graphloom.llm.textblocks import SpanHasher, blocks, counts_between, mix, same_as_earlier
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-STRATA = ("de", "en", "es", "fr")
 #: Rule: the measurement's numerator and denominator; the grid of cutoffs runs from lenient to strict.
 RULES = {
     "symbols": ("n_symbols", "word_chars"),
@@ -95,27 +102,32 @@ def measure_block(block) -> dict[str, np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Columns ``keep`` and the measurements of every whole text."""
-    source = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep] + [f"{m} long" for m in MEASURES])
+_LONGS = [StructField(m, LongType()) for m in MEASURES]
+
 
+def _measured(rows: DataFrame, text_of: Callable[[pa.RecordBatch], pa.Array], keep: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(len(keep))):
-                rows = batch.slice(block.rows.start, block.size)
+            for block in blocks(text_of(batch)):
                 found = measure_block(block)
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=[*keep, *MEASURES])
+                columns = batch.slice(block.rows.start, block.size).columns[: len(keep)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=[*keep, *MEASURES])
 
-    return source.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in keep), *_LONGS]))
+
+
+def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Columns ``keep`` and the measurements of every whole text."""
+    return _measured(docs.select(*keep, text), lambda batch: batch.column(len(keep)), keep)
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def stratum(column: Column, strata: tuple[str, ...] = STRATA) -> Column:
-    return F.when(column.isin(*strata), column).otherwise(F.lit("other"))
+def least_good(alpha: float, share: float) -> int:
+    """How many good documents, none rejected, certify a cutoff."""
+    return math.ceil(math.log(share) / math.log1p(-alpha / len(RULES)))
 
 
 def upper_bound(rejected: int, total: int, delta: float) -> float:
@@ -146,23 +158,27 @@ def _level(rule: str) -> Column:
     return F.least(share, F.lit(GRID - 1))
 
 
-def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, strata: tuple[str, ...] = STRATA) -> dict[str, dict[str, int]]:
+def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[str | None, dict[str, int]]:
     """For each stratum and rule the certified cutoff in hundredths; a document fails a rule if its share is above.
 
-    ``measured``: measurements with ``doc_id`` and ``stratum``. What reaches the driver are counts
-    by stratum, rule, grid level and label: at most ``(len(strata) + 1) * len(RULES) * 101 * 2`` rows.
+    ``measured``: measurements with ``doc_id`` and ``stratum``. What reaches the driver are counts by
+    rule, grid level and label of the strata that have good labels enough, so there is at most one
+    stratum for every few hundred labels, with ``len(RULES) * 101 * 2`` counts.
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = measured.where(~base_failed()).join(marks, "doc_id")
-    levels = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES)))
-    rows = held.select("stratum", "quality", levels.alias("x")).groupBy("stratum", "x.rule", "x.level", "quality").count().collect()
-    good = np.zeros((len(strata) + 1, len(RULES), GRID + 1), dtype=np.int64)
+    held = measured.where(~base_failed()).join(marks, "doc_id").groupBy("doc_id").agg(F.min("stratum").alias("stratum"), F.min("quality").alias("quality"), *(F.max(_level(r)).alias(r) for r in RULES))
+    held = held.checkpoint()
+    some = least_good(alpha, delta / len(RULES))
+    strata = held.where("quality = 1").groupBy("stratum").count().where(F.col("count") >= some).select("stratum")
+    levels = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES)))
+    rows = held.join(strata.withColumnRenamed("stratum", "of"), F.col("stratum").eqNullSafe(F.col("of"))).select("stratum", "quality", levels.alias("x")).groupBy("stratum", "x.rule", "x.level", "quality").count().collect()
+    names, rules = sorted({r["stratum"] for r in rows}, key=lambda s: (s is None, s)), list(RULES)
+    good = np.zeros((len(names), len(RULES), GRID + 1), dtype=np.int64)
     bad = np.zeros_like(good)
-    names, rules = [*strata, "other"], list(RULES)
     for s, r, level, quality, n in rows:
         (good if quality == 1 else bad)[names.index(s), rules.index(r), level + 1] += n
-    share = delta / (len(names) * len(rules))
-    out: dict[str, dict[str, int]] = {}
+    share = delta / max(1, len(names) * len(rules))
+    out: dict[str | None, dict[str, int]] = {}
     for i, s in enumerate(names):
         out[s] = {}
         for j, r in enumerate(rules):
@@ -180,37 +196,29 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05,
     return out
 
 
-def verdict(cutoffs: dict[str, dict[str, int]]) -> Column:
+def verdict(cutoffs: dict[str | None, dict[str, int]]) -> Column:
     """True for documents that pass the base rule and every certified cutoff of their stratum."""
     fails = F.lit(False)
     for s, rules in cutoffs.items():
         for r, cutoff in rules.items():
-            fails = fails | ((F.col("stratum") == s) & (_level(r) >= cutoff))
+            fails = fails | (F.col("stratum").eqNullSafe(F.lit(s)) & (_level(r) >= cutoff))
     return ~base_failed() & ~fails
 
 
 def measured_with_verdict(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Every document's measurements, ``base_failed`` and ``kept``. Measurements are taken once and kept in the checkpoint folder."""
-    measured = measure(docs.select("doc_id", "text", stratum(F.col("lang")).alias("stratum")), ("doc_id", "stratum")).checkpoint()
+    measured = measure(docs.select("doc_id", "text", F.col("lang").alias("stratum")), ("doc_id", "stratum")).checkpoint()
     cutoffs = select_cutoffs(measured, labels, alpha, delta)
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", verdict(cutoffs))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The documents that the rules keep, with their own columns. Cutoffs come from the labelled documents among ``docs``."""
-    columns = docs.columns
-    every = docs.withColumn("_stratum", stratum(F.col("lang")))
+    of_stratum = F.col("lang").alias("stratum")
     # measured once more below: cheaper than a shuffle of the texts
-    cutoffs = select_cutoffs(measure(docs.select("doc_id", "text", stratum(F.col("lang")).alias("stratum")), ("doc_id", "stratum")), labels, alpha, delta)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in every.schema] + [f"_m_{m} long" for m in MEASURES])
-    at, names = every.columns.index("text"), [*every.columns, *(f"_m_{m}" for m in MEASURES)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(at)):
-                found = measure_block(block)
-                yield pa.RecordBatch.from_arrays([*batch.slice(block.rows.start, block.size).columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=names)
-
-    rows = every.mapInArrow(run, schema)
-    judged = rows.select(F.struct(*columns).alias("_row"), F.col("_stratum").alias("stratum"), *(F.col(f"_m_{m}").alias(m) for m in MEASURES))
-    return judged.where(verdict(cutoffs)).select("_row.*")
+    cutoffs = select_cutoffs(measure(docs.select("doc_id", "text", of_stratum), ("doc_id", "stratum")), labels, alpha, delta)
+    # the row travels as one value, so that no name of its columns meets one of the measurements
+    row, text = "row", [c.lower() for c in docs.columns].index("text")
+    every = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), of_stratum)
+    judged = _measured(every, lambda batch: pc.struct_field(batch.column(0), [text]), (row, "stratum"))
+    return judged.where(verdict(cutoffs)).select(f"{row}.*")

@@ -367,7 +367,9 @@ def test_measures(docs, labels):
         r = got[key]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)), key
         assert r["base_failed"] == (len(found) < 20 or 100 * len(hit) > 30 * len(found))
-    assert quality_rules.keep_documents(docs, labels).columns == docs.columns
+    clashing = docs.withColumn("stratum", F.lit(1)).withColumn("row", F.lit(2)).withColumn("N_Words", F.lit(3)).withColumn("a.b", F.lit(4))
+    kept = quality_rules.keep_documents(clashing, labels)
+    assert kept.columns == clashing.columns and {tuple(r)[-4:] for r in kept.collect()} <= {(1, 2, 3, 4)}
     assert quality_rules.measured_with_verdict(docs.limit(0), labels).count() == 0
     assert quality_rules.measured_with_verdict(docs, labels.limit(0)).count() == len(ROWS)
 
@@ -385,6 +387,53 @@ def test_binomial_bound_and_cutoffs(spark):
     assert kept == set(range(900))
 
 
+def test_verdicts_follow_from_the_cutoffs(spark):
+    """Strata, certified cutoffs and verdicts by plain loops; repeated rows and labels are one trial."""
+    queries.prepare(spark)
+    rng = random.Random(12)
+    rows, marks = [], []
+    for i in range(2600):
+        lang = "en" if i < 1200 else "it" if i < 2400 else None if i < 2500 else "xx"
+        bad = rng.random() < 0.3
+        symbols = rng.randrange(8, 25) if bad else rng.choice([0] * 60 + [1, 2, 9])
+        line = [f"w{i}x{j}" + ("&&" if j < symbols else "") for j in range(40)]
+        rows.append((i, " ".join(line), lang))
+        marks.append((i, int(not bad)))
+    copies = [r for r in rows if r[0] % 10 == 0] * 3
+    marks += [(i, 1 - q) for i, q in marks if i % 50 == 0]
+    quality = {}
+    for i, q in marks:
+        quality[i] = min(q, quality.get(i, 1))
+    table = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in quality_rules.measured_with_verdict(table, spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    levels = {}
+    for i, r in got.items():
+        shares = {"symbols": (r["n_symbols"], r["word_chars"]), "repeats": (r["n_repeat_words"], r["n_words"]), "duplicate_lines": (r["n_dup_lines"], r["n_lines"]), "capitals": (r["n_capitals"], r["word_chars"])}
+        levels[i] = {k: min(-(-100 * a // max(1, b)) - 1, 99) for k, (a, b) in shares.items()}
+    langs = {i: lang for i, _, lang in rows}
+    strata = [s for s in ("en", "it", None, "xx") if sum(quality[i] == 1 and langs[i] == s and not got[i]["base_failed"] for i in got) >= quality_rules.least_good(0.05, 0.05 / 4)]
+    assert strata == ["en", "it"]
+    cutoffs = {}
+    for s in strata:
+        for k in quality_rules.RULES:
+            good = [levels[i][k] for i in got if langs[i] == s and quality[i] == 1 and not got[i]["base_failed"]]
+            bad = [levels[i][k] for i in got if langs[i] == s and quality[i] == 0 and not got[i]["base_failed"]]
+            best = (0, None)
+            for cutoff in range(99, 0, -1):
+                lost = sum(x >= cutoff for x in good)
+                if quality_rules.upper_bound(lost, len(good), 0.05 / 8) > 0.05 / 4:
+                    break
+                gain = sum(x >= cutoff for x in bad) - 10 * lost
+                if gain > best[0]:
+                    best = (gain, cutoff)
+            if best[1] is not None:
+                cutoffs[s, k] = best[1]
+    assert ("en", "symbols") in cutoffs
+    for i, r in got.items():
+        assert r["kept"] == (not r["base_failed"] and not any(langs[i] == s and levels[i][k] >= c for (s, k), c in cutoffs.items()))
+    assert {got[i]["kept"] for i in range(1200)} == {True, False} and all(got[i]["kept"] for i in range(2400, 2600))
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 60)])
 def test_ngram_join(spark, n, percent):
     queries.prepare(spark)
