@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_tree, top_k, url_filters, warc
+from graphloom.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, sidecar, suffix_tree, top_k, url_filters, warc
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -18,7 +17,10 @@ def prepare(spark: SparkSession) -> None:
     """A checkpoint folder where none is set, as in tests; a cluster names a shared one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/graphloom")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints/graphloom")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,8 +148,22 @@ def op9_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
-    return warc.read(warc.write(pages, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = warc.write(pages, sidecar.new_folder(spark, "warc"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH d AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), r AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS least FROM d
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(5 * i // 4 + 1 AS BIGINT), 2) AS INTEGER) >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN least IS NULL OR page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN least <> coalesce(page_id, least - 1) THEN least END AS refers_to
+FROM r
+"""
 
 
 OP9_SQL = r"""
@@ -182,4 +198,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bloom_cascade_url_filter": OP1_SQL, "op3_vector_approximation_search": OP3_SQL, "op8_partenum_ngram_join": OP8_SQL, "op9_systematic_mixing": OP9_SQL}
+    return {"op1_bloom_cascade_url_filter": OP1_SQL, "op3_vector_approximation_search": OP3_SQL, "op8_partenum_ngram_join": OP8_SQL, "op9_systematic_mixing": OP9_SQL, "op10_warc_segments": OP10_SQL}

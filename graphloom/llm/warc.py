@@ -2,7 +2,7 @@
 
 Each page becomes a ``response`` record whose block is an HTTP response in chunked transfer
 framing. Of pages with equal payloads (of ``least_revisit`` bytes or more) the one with the
-smallest id is stored; the others are ``revisit`` records that name it. A block longer than
+smallest id is stored; the others are ``revisit`` records whose ``WARC-Refers-To`` is that record's id. A block longer than
 ``segment`` bytes is split: the first part stays in the response record, the others go to
 ``continuation`` records with the origin's id and their number, the last with the total length.
 
@@ -10,12 +10,15 @@ Archives are gzip members, one per record, in files below a folder of the shared
 all tasks reach (any that ``pyarrow.fs`` opens by URI). A task that is run again writes files of a
 new name; only files in the manifest, which is checkpointed, are ever read.
 
-Reading streams the files. Whole records are decoded at once; segments are dealt by origin id,
-sorted by number and decoded as a stream. Wrong lengths, numbers, framing or digests raise.
+Reading parses the files once, as a stream. Whole records are decoded at once and kept, with the
+segments, as Parquet in the checkpoint folder; segments are dealt by origin id, sorted by number and
+decoded as a stream. Wrong lengths, numbers, framing or digests raise.
 
 Null urls count as empty, null payloads too. Null ids are larger than all others and never named by
 a revisit unless the payload has no other page (then all its pages are stored). Rows that repeat
-the smallest id are each stored. An empty table gives no archives and no rows.
+the smallest id are each stored; revisits refer to the first of them. Record ids hold the row's place
+in the table, which must give the same rows in the same partitions when read again. Pages of any
+length are taken whole. An empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.sidecar import filesystem
+from graphloom.llm.sidecar import filesystem, new_folder
 
 CHUNK = 8192
 FILE_BYTES = 64 << 20
@@ -113,12 +116,17 @@ def record(fields: dict[str, object], block: bytes) -> bytes:
     return packer.compress(raw) + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
 
 
-def page_records(page_id, url: str, payload: bytes, refers_to, row: str, segment: int, date: str) -> list[bytes]:
+def record_id(page_id, row: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
+
+
+def page_records(page_id, url: str, payload: bytes, refers_to: tuple[int, int] | None, row: int, segment: int, date: str) -> list[bytes]:
+    """The records of a page; ``refers_to``: page and row of the stored one."""
     digest = "sha1:" + sha1_base32(payload)
-    own = f"<urn:page:{'' if page_id is None else page_id}:{row}>"
+    own = record_id(page_id, row)
     fields = {"WARC-Type": "response", "WARC-Record-ID": own, "WARC-Date": date, "WARC-Target-URI": url.replace("\\", "\\\\").replace("\r", "\\r").replace("\n", "\\n"), "WARC-Payload-Digest": digest, "Content-Type": "application/http;msgtype=response", "Page-Id": page_id}
     if refers_to is not None:
-        fields |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>", "Payload-Length": len(payload)}
+        fields |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(*refers_to), "Payload-Length": len(payload)}
         return [record(fields, b"")]
     block = _HTTP + chunked(payload)
     if len(block) <= segment:
@@ -136,13 +144,14 @@ def page_records(page_id, url: str, payload: bytes, refers_to, row: str, segment
 def write(pages: DataFrame, folder: str, least_revisit: int = 0, segment: int = 16384, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Archives of ``page_id``, ``url``, ``html`` below ``folder`` (a URI all tasks reach); returns their paths."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    keyed = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload"))
+    keyed = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload")).withColumn("row", F.monotonically_increasing_id())
     # only payloads that occur more than once matter; ids and digests alone are grouped
-    copies = keyed.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first").checkpoint()
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))
+    copies = keyed.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first").checkpoint()
     few = copies.count() <= MOST_BROADCAST
     joined = keyed.join(F.broadcast(copies) if few else copies, "digest", "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to")
-    rows = joined.select("page_id", "url", "payload", refers)
+    other = F.col("page_id").isNull() | (F.col("page_id") != F.col("first.page_id"))
+    rows = joined.select("page_id", "url", "payload", "row", *(F.when(other, F.col(f"first.{c}")).alias(f"first_{c}") for c in ("page_id", "row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
@@ -150,16 +159,15 @@ def write(pages: DataFrame, folder: str, least_revisit: int = 0, segment: int =
         task = TaskContext.get()
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
         made: list[tuple[str, int, int]] = []
-        stream, size, count, row = None, 0, 0, 0
+        stream, size, count = None, 0, 0
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, row, first, first_row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if stream is None:
                     path = f"{root}/{name}-{len(made)}.warc.gz"
                     stream, size, count = files.open_output_stream(path, compression=None), 0, 0
-                for one in page_records(page_id, url, payload, refers_to, f"{task.partitionId()}.{row}", segment, date):
+                for one in page_records(page_id, url, payload, None if first is None else (first, first_row), row, segment, date):
                     stream.write(one)
                     size, count = size + len(one), count + 1
-                row += 1
                 if size >= FILE_BYTES:
                     stream.close()
                     made.append((path, size, count))
@@ -219,7 +227,7 @@ def _row(fields: dict[str, str], payload: bytes | None) -> dict:
         raise ValueError("a payload's digest is wrong")
     return {
         "page_id": None if page_id is None else int(page_id), "url": _plain(fields["warc-target-uri"]), "record_type": fields["warc-type"], "payload": payload,
-        "payload_bytes": int(fields["payload-length"]) if payload is None else len(payload), "payload_digest": digest, "refers_to": None if refers is None else int(refers[len("<urn:page:") : -1]),
+        "payload_bytes": int(fields["payload-length"]) if payload is None else len(payload), "payload_digest": digest, "refers_to": None if refers is None else int(refers.split(":")[2]),
     }
 
 
@@ -309,6 +317,8 @@ def reassemble(parts: DataFrame) -> DataFrame:
 
 def read(manifest: DataFrame) -> DataFrame:
     """One row per page of the archives; a revisit has no payload, but its length and digest."""
-    records = read_segments(manifest)
-    whole = records.where(F.col("origin").isNull()).select(*_PAGE.names)
-    return whole.unionByName(reassemble(records.where(F.col("origin").isNotNull())))
+    spark, folder = manifest.sparkSession, new_folder(manifest.sparkSession, "warc-records")
+    parsed = read_segments(manifest)
+    parsed.withColumn("whole", F.col("origin").isNull()).write.partitionBy("whole").parquet(folder)
+    records = spark.read.schema(parsed.schema.add("whole", "boolean")).parquet(folder)
+    return records.where("whole").select(*_PAGE.names).unionByName(reassemble(records.where("not whole")))

@@ -537,6 +537,13 @@ def test_warc(spark, tmp_path):
     rows = [(1, "http://a/\r\nX: y", "<p>ü</p>"), (2, None, "<p>ü</p>"), (3, "u", ""), (4, "u", None), (5, "u", big), (6, "u", big), (None, "u", "<p>ü</p>"), (8, "u\\n", big + "x"), (None, "u", "alone"), (3, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("digest", F.lit(1))
     manifest = warc.write(pages, str(tmp_path / "archives"))
+    ids, refers = Counter(), set()
+    for r in manifest.collect():
+        with open(r["path"], "rb") as stream:
+            for fields, _ in warc.parse_records(stream.read):
+                ids[fields["warc-record-id"]] += 1
+                refers |= {fields["warc-refers-to"]} if fields["warc-type"] == "revisit" else set()
+    assert max(ids.values()) == 1 and refers and refers <= set(ids)
     got = warc.read(manifest).collect()
     assert len(got) == len(rows)
     first = {}
