@@ -141,8 +141,8 @@ FROM documents d JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY no
 
 def op9_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    drawn = mixing.copies(sized, F.col("size"), F.col("source"))
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.spread_of(F.col("doc_id"), F.col("text")).alias("spread"))
+    drawn = mixing.copies(sized, F.col("size"), F.col("source"), spread=F.col("spread"))
     return drawn.select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_copies") * F.col("size")).alias("taken"))
 
 
@@ -168,9 +168,12 @@ FROM r
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 8) AS BIGINT) AS spread FROM documents
+), c AS (
+  SELECT *, length(bin(size)) AS class FROM d
 ), k AS (
-  SELECT *, length(bin(size)) AS class, coalesce(doc_id, -1) % greatest(1, CAST(ceil((SELECT count(*) FROM d) / 20000.0) AS BIGINT)) AS salt FROM d
+  SELECT *, spread % CAST(ceil(count(*) OVER (PARTITION BY source, class) / 1000.0) AS BIGINT) AS salt FROM c
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -183,7 +186,7 @@ WITH d AS (
     CAST(CAST('0x' || substr(sha256('17:' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS shift FROM l
 ), r AS (
   SELECT doc_id, size, source_size, target, shift, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-    row_number() OVER (PARTITION BY k.source ORDER BY class, salt, size, doc_id) AS n
+    row_number() OVER (PARTITION BY k.source ORDER BY class, salt, size, doc_id NULLS FIRST, spread) AS n
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, CAST(floor(n * rate + shift) - floor((n - 1) * rate + shift) AS BIGINT) * size AS taken FROM r

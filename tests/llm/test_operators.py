@@ -516,17 +516,62 @@ def test_signatures_meet():
             assert len(x) == len(y) or set(found[whose == 0].tolist()) & set(found[whose == 1].tolist())
 
 
-def test_mixing(docs, spark):
+def plain_copies(rows, weights=(5, 2, 1), most=3, seed=17):
+    """Copies of each row (id, text, source, size) by one running sum per source and water filling in rounds."""
+    totals = Counter()
+    for _, _, source, size in rows:
+        totals[source] += size
+    order = sorted(totals, key=lambda s: (s is None, s))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, open_ = {}, sum(totals.values()), set(order)
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if share * weight[s] > most * totals[s]}
+        if not full:
+            target |= {s: share * weight[s] for s in open_}
+            break
+        for s in full:
+            target[s] = most * totals[s]
+            left -= target[s]
+        open_ -= full
+    spread = lambda r: int(hashlib.md5(f"{'' if r[0] is None else r[0]}:{r[1] or ''}".encode()).hexdigest()[:8], 16)
+    many = Counter((r[2], r[3].bit_length() or 1) for r in rows)
+    out = Counter()
+    for source in order:
+        mine = sorted((r for r in rows if r[2] == source), key=lambda r: (r[3].bit_length() or 1, spread(r) % -(-many[source, r[3].bit_length() or 1] // mixing.CELL_ROWS), r[3], -1 if r[0] is None else r[0], spread(r)))
+        rate = target[source] / totals[source] if totals[source] else 0.0
+        at = int(hashlib.sha256(f"{seed}:{source or ''}".encode()).hexdigest()[:8], 16) / 2**32
+        for n, r in enumerate(mine, 1):
+            out[r[0], r[1], source, r[3], math.floor(n * rate + at) - math.floor((n - 1) * rate + at)] += 1
+    return out, target
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mixing(docs, spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 2)
+    monkeypatch.setattr(mixing, "RUN", 3)
+    rng = random.Random(3)
+    extra = [(rng.choice([None, 5, i]), " ".join("w" * rng.randrange(1, 60)), "en", rng.choice(["a", "a", "a", "b", None]), 0) for i in range(200)]
+    every = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([*extra, extra[0], extra[0]], DOCS))
+    drawn = mixing.copies(every, mixing.word_count(F.col("text")), F.col("source")).collect()
+    rows = [(r["doc_id"], r["text"], r["source"], len(words(r["text"]))) for r in every.collect()]
+    want, targets = plain_copies(rows)
+    assert Counter((r["doc_id"], r["text"], r["source"], r["_mix_size"], r["_mix_copies"]) for r in drawn) == want
+    assert all(r["_mix_target"] == pytest.approx(targets[r["source"]]) and 0 <= r["_mix_copies"] <= 3 for r in drawn)
+
+
+def test_mixing_keeps_columns_and_nears_its_targets(docs, spark):
     drawn = mixing.copies(docs, mixing.word_count(F.col("text")), F.col("source")).collect()
     assert len(drawn) == len(ROWS)
-    assert all(0 <= r["_mix_copies"] <= 3 for r in drawn)
-    total = sum(r["_mix_size"] for r in drawn)
-    targets = {r["source"]: r["_mix_target"] for r in drawn}
-    assert abs(sum(targets.values()) - total) < 1e-6 * total
-    out = mixing.emit(docs, mixing.word_count(F.col("text")), F.col("source"))
-    assert out.columns == docs.columns and out.count() == sum(r["_mix_copies"] for r in drawn)
+    clashing = docs.withColumn("_Mix_size", F.lit("mine")).withColumn("size", F.lit("mine")).withColumn("a.b", F.lit(1))
+    out = mixing.emit(clashing, mixing.word_count(F.col("text")), F.col("source"))
+    assert out.columns == clashing.columns and out.count() == sum(r["_mix_copies"] for r in drawn)
+    assert {r["_Mix_size"] for r in out.collect()} == {"mine"}
+    texts = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert mixing.copies(texts, mixing.word_count(F.col("text")), F.col("source")).count() == len(ROWS)
     assert mixing.copies(docs.limit(0), mixing.word_count(F.col("text")), F.col("source")).count() == 0
-    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), (F.col("id") % 50 + 1).alias("size"))
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), (F.col("id") % 50 + 1).alias("size"))
     for r in mixing.copies(many, F.col("size"), F.col("source")).groupBy("source").agg(F.sum(F.col("_mix_copies") * F.col("_mix_size")).alias("taken"), F.max("_mix_target").alias("target")).collect():
         assert abs(r["taken"] - r["target"]) < 0.02 * r["target"]
 
