@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textblocks import blocks, unused
+from graphloom.llm.names import unused
+from graphloom.llm.textblocks import blocks
 
 TRAIN_PER_CLASS = 1500
 TRAIN_CHUNKS = 96

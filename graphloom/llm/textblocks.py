@@ -28,14 +28,6 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def unused(columns: list[str], name: str) -> str:
-    """``name``, with as many underscores behind it as no column of that name (in any case) needs."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -47,9 +47,10 @@ def lower(text):
 def test_url_filter(spark):
     queries.prepare(spark)
     urls = ["http://A.example.org/es/x?q", "x://example.org/en/12", None, "nothing", "http://com", "http://b.com/fr/", "http://c.net/a?ref=1", "http://c.net/a", "http://c.net/a", "http://C.net/b#x://y"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("listed", F.lit("mine"))
     rows = url_filters.filter_urls(spark, pages, pages.where(F.col("url").rlike(queries.TRACKING)), queries.URL_RULES).collect()
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
+    assert {r["listed"] for r in rows} == {"mine"}
     assert got[0] == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert got[1] == ("example.org", "/en/12", "example.org/en/1", "block")
     assert got[2] == got[3] == ("", "", None, "allow")
@@ -63,10 +64,14 @@ def test_url_filter(spark):
 def test_cascade_is_exact(spark, monkeypatch, bits):
     queries.prepare(spark)
     monkeypatch.setattr(url_filters, "SHARD_BITS", bits)
+    monkeypatch.setattr(url_filters, "SMALL_SHARD_BITS", bits)
     keys = spark.range(3000).select(F.col("id").cast("string").alias("key"))
     cascade = url_filters.Cascade(keys, keys.where("key % 17 = 0"))
     assert (cascade.shards > 1) == (bits == 600)
-    assert cascade.mark(keys, F.col("key")).where("listed <> (key % 17 = 0)").count() == 0
+    clashing = keys.unionByName(keys.where("key = 17")).withColumn("shard", F.lit("x")).withColumn("salt", F.lit("y")).withColumn("words", F.lit("z"))
+    marked = cascade.mark(clashing, F.col("key"))
+    assert marked.columns == [*clashing.columns, "listed"] and marked.count() == 3001
+    assert marked.where("listed <> (key % 17 = 0) or shard <> 'x' or salt <> 'y' or words <> 'z'").count() == 0
 
 
 def test_classifier(docs, labels, spark):
