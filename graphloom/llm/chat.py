@@ -6,8 +6,10 @@ before ``:`` too), so the marks can't be forged and the writing can be undone.
 
 A conversation is cut at turns. Running sums of the turns' tokens choose the longest span of new
 turns that fits the budget beside what is repeated: the system turn, if the conversation opens
-with one, and up to ``history`` turns before the span that fit a quarter of the budget. A turn
-that alone is over the budget still gets a window, uncut. The loss covers the texts of the span's
+with one, and up to ``history`` turns before the span that fit a quarter of the budget. Tokens are
+what ``tokens`` counts in a written turn: the length of a tokenizer's ids, or words by default. Spans
+are of whole turns and the system turn is always retained, so a window is over the budget only if its
+one new turn and the system turn alone are; then nothing else is repeated. The loss covers the texts of the span's
 assistant turns; repeated turns are never covered, so each assistant text counts once.
 
 Rows are dealt by conversation and sorted in it, then written as a stream: a task holds one window

@@ -98,7 +98,8 @@ def op5_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_windows(told.unionByName(more), budget=512))
+    vocabulary, ranks = public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
+    return chat.read_back(chat.format_windows(told.unionByName(more), budget=1024, tokens=lambda written: len(packing.encode(written, vocabulary, ranks))))
 
 
 def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +113,46 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def chat_window_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the windows: all of op5 but their length."""
+    return op5_budgeted_chat_windows(spark, sf_dir).drop("formatted_chars")
+
+
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), d AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256 FROM d
+"""
+
+
+def quality_rule_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the rules: all of op7 but the verdict."""
+    return op7_quality_rules(spark, sf_dir).drop("kept")
+
+
+MEASURES_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)
+), r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g WHERE n > 1) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+"""
+
+
 def op8_partenum_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_classes(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -197,8 +238,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bloom_cascade_url_filter, op2_quality_classifier, op3_vector_approximation_search, op4_sum_of_squares_packing, op5_budgeted_chat_windows,
         op6_suffix_tree_scores, op7_quality_rules, op8_partenum_ngram_join, op9_systematic_mixing, op10_warc_segments,
+        chat_window_digests, quality_rule_measures,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bloom_cascade_url_filter": OP1_SQL, "op3_vector_approximation_search": OP3_SQL, "op8_partenum_ngram_join": OP8_SQL, "op9_systematic_mixing": OP9_SQL, "op10_warc_segments": OP10_SQL}
+    return {"op1_bloom_cascade_url_filter": OP1_SQL, "op3_vector_approximation_search": OP3_SQL, "op8_partenum_ngram_join": OP8_SQL, "op9_systematic_mixing": OP9_SQL, "op10_warc_segments": OP10_SQL, "chat_window_digests": CHAT_SQL, "quality_rule_measures": MEASURES_SQL}

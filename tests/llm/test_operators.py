@@ -357,6 +357,44 @@ def test_chat(spark):
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
+def test_windows_keep_the_budget_in_tokens(spark):
+    """Spans, repeats and sums of windows, from the turns' own token counts."""
+    rng = random.Random(2)
+    rows = []
+    for c in range(40):
+        for t in range(rng.randrange(1, 30)):
+            rows.append((c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), "word " * rng.choice([1, 3, 8, 20, 90])))
+    tokens = lambda written: len(written)
+    budget, history = 300, 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {}
+    for w in chat.format_windows(df, budget, history, tokens).collect():
+        found.setdefault(w["conv_id"], []).append(w)
+    for c in range(40):
+        turns = [(r, x) for k, _, r, x in rows if k == c]
+        sizes = [len(chat.write_turn(r, x)[0]) for r, x in turns]
+        system = turns[0][0] == "system"
+        at = 0
+        for w in sorted(found[c], key=lambda w: w["window"]):
+            told = [(r, x) for r, x, _, _ in chat.read_turns(w["text"])]
+            context, span = w["context_turns"], len(told) - w["context_turns"]
+            assert w["turns"] == span and told[context:] == turns[at : at + span] and w["tokens"] == len(w["text"])
+            repeated = told[:context]
+            if system and at:
+                assert repeated[0] == turns[0]
+                repeated = repeated[1:]
+            assert len(repeated) <= history and repeated == turns[at - len(repeated) : at]
+            least = sizes[at] + (sizes[0] if system and at else 0)
+            assert w["tokens"] <= budget or (w["tokens"] == least and span == 1)
+            # the span is the longest that fits
+            if at + span < len(turns):
+                assert w["tokens"] + sizes[at + span] > budget
+            loss = [chat.unescape(w["text"][a:b]) for a, b in zip(w["loss_starts"], w["loss_ends"], strict=True)]
+            assert loss == [x for r, x in turns[at : at + span] if r == "assistant"]
+            at += span
+        assert at == len(turns)
+
+
 def test_measures(docs, labels):
     got = {r["doc_id"]: r for r in quality_rules.measured_with_verdict(docs, labels).collect()}
     for key, text, *_ in ROWS:
