@@ -1,24 +1,32 @@
 """Exact n-gram Jaccard join with PartEnum signatures, down to connected classes.
 
-A document is the set of its distinct n-word shingles (64-bit hashes). Equal sets are one node.
-Sizes fall into bands whose ends are ``1 / threshold`` apart, so sets that link lie in one band or
-in neighbours; a node takes part in its own band and the next. In a band, sets that link differ in
-at most ``k`` elements. The domain of the shingles is partitioned into ``k // 2 + 1 + spare``
-groups of three parts; in one group at least, linked sets differ in at most one element, so two of
-its three parts are equal. Each of the three pairs of parts is a signature, and linked sets share
-one. Pairs of empty parts are no signature, unless more groups than are to spare have one (then
-the node also takes the signatures of its empty pairs); so nothing is lost.
-
-Signatures meet packed by hash; those of one node alone go. In a bucket, a pair can link only if
-its sizes and a parity bitmap (whose differing bits never exceed the differing elements) allow it.
-Each bucket gives a spanning forest of its possible links. Of these, one for each node is verified
-on the whole sets, then those whose ends are still in different classes, and last every possible
-link of a bucket between members of different classes. After that each possible link was tested or
-lies within a class: the classes are exact, and no bucket is ever spelled out in pairs.
+A document is the set of its distinct n-word shingles (64-bit hashes). Rows with equal sets (told by
+128 bits) are one node, named by the number of its first row. Sizes fall into bands whose ends are
+``1 / threshold`` apart, so sets that link lie in one band or in neighbours; a node takes part in its
+own band and the next. In a band, sets that link differ in at most ``k`` elements. The domain of the
+shingles is partitioned into ``k // 2 + 1 + spare`` groups of three parts; in one group at least,
+linked sets differ in at most one element, so two of its three parts are equal. Each of the three
+pairs of parts is a signature, and linked sets share one. Pairs of empty parts are no signature,
+unless more groups than are to spare have one (then the node also takes the signatures of its empty
+pairs); so nothing is lost.
+
+Signatures meet packed by hash; those of one node alone go. A bucket of more than ``MOST_MEMBERS``
+nodes is split: its members are dealt to blocks, and each two blocks make a bucket for a task of its
+own. In a bucket, a pair can link only if its sizes and a parity bitmap (whose differing bits never
+exceed the differing elements) allow it. Each bucket gives a spanning forest of its possible links.
+Of these, one for each node is verified on the whole sets, then those whose ends are still in
+different classes, and last every possible link of a bucket between members of different classes.
+After that each possible link was tested or lies within a class: the classes are exact, and no
+bucket is ever spelled out in pairs.
+
+Rows are found again by their numbers, which are dealt to the partitions of the scan (``sidecar``):
+only texts that are compared are shuffled. So the table must give the same rows in the same
+partitions each time (a scan, a checkpoint).
 
 Texts without words and null texts have the empty set, which links with nothing. Texts with fewer
-than n words are one shingle. Null ids take part; a class of null ids alone has the id null. Rows
-that repeat an id are nodes by their own texts. Empty tables and extra columns are fine.
+than n words are one shingle; texts of any length are taken whole. Ids may be of any type that has
+an order. Null ids take part; a class of null ids alone has the id null. Rows that repeat an id are
+nodes by their own texts. Empty tables and extra columns are fine.
 """
 
 from __future__ import annotations
@@ -27,15 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
+from graphloom.llm import sidecar
 from graphloom.llm.textblocks import LOWER, blocks, mix, word_hashes
 
 BLOCK = 1 << 20
 #: Shingles for each partition of signatures.
 PART_SHINGLES = 2_000_000
+MOST_MEMBERS = 4_096
 _ODD = np.uint64(0xD1342543DE82EF95)
 #: Pairs of a group's three parts.
 _PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -64,11 +75,11 @@ def document_sets(block, n: int) -> list[np.ndarray]:
     return out
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A signed 64-bit fingerprint of a set."""
-    with np.errstate(over="ignore"):
-        total = mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles)) * _ODD
-    return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    sums = np.array([mix(shingles).sum(dtype=np.uint64), mix(shingles ^ _ODD).sum(dtype=np.uint64)])
+    high, low = mix(sums + np.array([len(shingles)], dtype=np.uint64) * _ODD).view(np.int64).tolist()
+    return high, low
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -143,29 +154,69 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(found), np.concatenate(whose)
 
 
-def _nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id``, ``node`` (null for the empty set), ``n_shingles``, ``bits``."""
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """A scan partition's batches, each with the number of its first row."""
+    number = TaskContext.get().partitionId() << sidecar.ROWS_BITS
+    for batch in batches:
+        yield batch, number
+        number += batch.num_rows
+
+
+def dealt_rows(rows: DataFrame, folder: str) -> None:
+    """Deals row numbers (``row``) and the bytes of their texts (``size``, null if unknown) to their scan partitions."""
+    sidecar.deal(rows.select("row", "size", F.expr(f"cast(shiftright(row, {sidecar.ROWS_BITS}) as int)").alias("scan")), folder, "row")
+
+
+class Dealt:
+    """The rows dealt to this task's partition."""
+
+    def __init__(self, folder: str) -> None:
+        table = sidecar.dealt_to(folder)
+        rows, sizes = (np.zeros(0, np.int64),) * 2 if table is None else (table["row"].to_numpy(), table["size"].fill_null(-1).to_numpy())
+        order = np.argsort(rows)
+        self.rows, self.sizes = rows[order], sizes[order]
+
+    def among(self, number: int, texts: pa.Array) -> np.ndarray:
+        """Places in a batch whose first row has that number. A text of another size than it had is found out."""
+        a, b = np.searchsorted(self.rows, [number, number + len(texts)])
+        places = self.rows[a:b] - number
+        now = pc.fill_null(pc.binary_length(texts.take(pa.array(places))), 0).to_numpy()
+        if ((self.sizes[a:b] >= 0) & (now != self.sizes[a:b])).any():
+            raise ValueError("the table's partitions changed between two readings; checkpoint it")
+        return places
+
+
+def _rows(docs: DataFrame, n: int) -> DataFrame:
+    """``row``, ``size`` (bytes of the text), ``doc_id``, ``high``, ``low`` (null for the empty set), ``n_shingles``, ``bits``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, number in numbered(batches):
             for block in blocks(batch.column(1), BLOCK):
                 sets = document_sets(block, n)
-                columns = [batch.column(0).slice(block.rows.start, block.size), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", "bits"])
+                high, low = zip(*(set_hashes(s) if len(s) else (None, None) for s in sets), strict=True)
+                columns = [
+                    pa.array(number + np.arange(block.rows.start, block.rows.stop)), pa.array(np.diff(block.offsets)), batch.column(0).slice(block.rows.start, block.size), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "size", "doc_id", "high", "low", "n_shingles", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"row long, size long, doc_id {kind}, high long, low long, n_shingles long, bits binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, bits binary")
 
+def _messages(docs: DataFrame, n: int, percent: int, shift: int, folder: str) -> DataFrame:
+    """A block's signatures for each partition of the hash space: low 40 bits, and places in a table of nodes.
 
-def _messages(docs: DataFrame, n: int, percent: int, shift: int) -> DataFrame:
-    """A block's signatures for each partition of the hash space: low 40 bits, and places in a table of nodes."""
+    Only the rows that name a node (those dealt to ``folder``) have signatures.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(0), BLOCK):
-                by_node = {node_of(s): s for s in document_sets(block, n) if len(s)}
-                nodes = np.array(list(by_node), dtype=np.int64)
-                found, whose = signatures(list(by_node.values()), percent)
+        mine = Dealt(folder)
+        for batch, number in numbered(batches):
+            places = mine.among(number, batch.column(0))
+            for block in blocks(batch.column(0).take(pa.array(places)), BLOCK):
+                nodes = number + places[block.rows]
+                found, whose = signatures(document_sets(block, n), percent)
                 if not len(found):
                     continue
                 order = np.argsort(found)
@@ -246,6 +297,21 @@ def _buckets(messages: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "bucket long, node long").distinct()
 
 
+def split_buckets(buckets: DataFrame) -> DataFrame:
+    """The same buckets, each of more than ``MOST_MEMBERS`` members as one for every two of its blocks (and for each with itself).
+
+    Two members of a bucket still share one, and no bucket has more than about twice as many members.
+    """
+    large = buckets.groupBy("bucket").count().where(F.col("count") > MOST_MEMBERS).select("bucket", F.ceil(F.col("count") / MOST_MEMBERS).cast("int").alias("n")).checkpoint()
+    if large.isEmpty():
+        return buckets
+    mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("mine")
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    dealt = buckets.join(large, "bucket").select("bucket", "node", mine, "n").select("bucket", "node", "mine", other)
+    pairs = dealt.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "node")
+    return buckets.join(large, "bucket", "left_anti").unionByName(pairs).checkpoint()
+
+
 def possible(sizes: np.ndarray, bits: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     """Which of ``others`` may link with ``i``: never false for a pair that does."""
     total = sizes[others] + sizes[i]
@@ -277,28 +343,27 @@ def crossing(sizes: np.ndarray, bits: np.ndarray, classes: np.ndarray, percent:
 
 
 def _candidates(members: DataFrame, percent: int, cross: bool) -> DataFrame:
-    """Possible links in each bucket, from ``a`` to ``b``. ``members``: bucket, node, rep, n, bits, class."""
-    dealt = members.select("bucket", "node", "rep", "n", "bits", "class").repartition("bucket").sortWithinPartitions("bucket", F.col("rep").asc_nulls_last(), "node")
+    """Possible links in each bucket, from ``a`` to ``b``. ``members``: bucket, node, n, bits, class."""
+    dealt = members.select("bucket", "node", "n", "bits", "class").repartition("bucket").sortWithinPartitions("bucket", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        edges: list[tuple[int, int, int]] = []
+        edges: list[tuple[int, int]] = []
 
         def work(of: pa.Table) -> None:
             bucket = of["bucket"].to_numpy()
             nodes, sizes, classes = (of[c].to_numpy() for c in ("node", "n", "class"))
-            reps = of["rep"].fill_null(np.iinfo(np.int64).max).to_numpy()
             bits = of["bits"].to_pylist()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 rows = same_length(bits[a:b])
                 found = crossing(sizes[a:b], rows, classes[a:b], percent) if cross else spanning_forest(sizes[a:b], rows, percent)
-                edges.extend((int(nodes[a + i]), int(nodes[a + j]), int(reps[a + i])) for i, j in found)
+                edges.extend((int(nodes[a + i]), int(nodes[a + j])) for i, j in found)
 
         def out() -> pa.RecordBatch:
-            rows = np.array(edges, dtype=np.int64).reshape(-1, 3)
+            rows = np.array(edges, dtype=np.int64).reshape(-1, 2)
             edges.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["a", "b", "rep_a"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["a", "b"])
 
         for batch in batches:
             of = pa.Table.from_batches([batch])
@@ -315,40 +380,29 @@ def _candidates(members: DataFrame, percent: int, cross: bool) -> DataFrame:
         if edges:
             yield out()
 
-    return dealt.mapInArrow(run, "a long, b long, rep_a long").distinct()
-
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-def _texts(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """``node``, ``text`` for the rows whose ids are ``reps`` (a bitmap of fixed size lets a few others pass)."""
-    size = 1 << 23
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, dtype=np.uint8)
-        for batch in batches:
-            bits[batch.column(0).to_numpy()] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    marks = np.zeros(size // 8, dtype=np.uint8)
-    for row in reps.select(F.pmod(F.xxhash64("rep"), F.lit(size)).alias("spot")).coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-        marks |= np.frombuffer(row["bits"], np.uint8)
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node``, ``text`` of ``nodes``, which are numbers of rows."""
+    folder = sidecar.new_folder(docs.sparkSession, "ngram-texts")
+    dealt_rows(nodes.select(F.col("node").alias("row"), F.lit(None).cast("long").alias("size")), folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7))) & 1 == 1))
-            for block in blocks(batch.column(0)):
-                nodes = [node_of(s) if len(s) else None for s in document_sets(block, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).slice(block.rows.start, block.size)], names=["node", "text"])
+        mine = Dealt(folder)
+        for batch, number in numbered(batches):
+            places = mine.among(number, batch.column(0))
+            if len(places):
+                yield pa.RecordBatch.from_arrays([pa.array(number + places), batch.column(0).take(pa.array(places))], names=["node", "text"])
 
-    rows = docs.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(size)).alias("spot"))
-    return rows.mapInArrow(run, "node long, text string").where(F.col("node").isNotNull()).dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node long, text string")
 
 
-def _verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The edges whose whole sets link. Texts travel, being smaller than their sets; a set is made where it is compared."""
     edges = edges.select("a", "b").distinct()
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    texts = _texts(docs, ends.join(nodes, "node").select("rep"), n)
+    texts = _texts(docs, ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,16 +440,16 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _classed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``node`` and ``keeps`` for each row.
-
-    ``keeps``: the row is of its class's smallest id and, among the sets under that id, of the smallest node.
-    """
-    rows = _nodes(docs, n, percent).checkpoint()
-    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")).checkpoint()
+def _classed_rows(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``_rows`` gives them, and for each set ``high``, ``low``, its class's smallest id (``component_id``) and that id's row and size."""
+    rows = _rows(docs, n).checkpoint()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "size")).alias("best")
+    nodes = rows.where(F.col("high").isNotNull()).groupBy("high", "low").agg(F.min(F.struct("row", "size")).alias("first"), best, F.max("n_shingles").alias("n"), F.max("bits").alias("bits")).withColumn("node", F.col("first.row")).checkpoint()
     total = nodes.agg(F.sum("n")).first()[0] or 0
     shift = max(3, (total // PART_SHINGLES).bit_length())
-    buckets = _buckets(_messages(docs, n, percent, shift), 1 << shift).checkpoint()
+    folder = sidecar.new_folder(docs.sparkSession, "ngram-nodes")
+    dealt_rows(nodes.select("first.*"), folder)
+    buckets = split_buckets(_buckets(_messages(docs, n, percent, shift, folder), 1 << shift).checkpoint())
     tested = _candidates(buckets.join(nodes, "node").withColumn("class", F.col("node")), percent, cross=False).checkpoint()
 
     def across(edges: DataFrame, classes: DataFrame) -> DataFrame:
@@ -405,12 +459,12 @@ def _classed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
             edges = edges.join(of, end, "left").withColumn(f"class_{end}", F.coalesce(f"class_{end}", end))
         return edges.where("class_a <> class_b").select("a", "b")
 
-    # first one link for each node, to the smallest id; most others then lie within a class
-    first = tested.groupBy("b").agg(F.min_by("a", F.struct("rep_a", "a")).alias("a")).select("a", "b").checkpoint()
-    links = _verified(first, docs, nodes, n, percent)
+    # first one link for each node, to the smallest; most others then lie within a class
+    first = tested.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
+    links = _verified(first, docs, n, percent)
     classes = connected(links)
     rest = across(tested.join(first, ["a", "b"], "left_anti"), classes).checkpoint()
-    links = links.unionByName(_verified(rest, docs, nodes, n, percent))
+    links = links.unionByName(_verified(rest, docs, n, percent))
     classes = connected(links)
 
     classed = buckets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -419,56 +473,34 @@ def _classed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     known = first.unionByName(rest)
     known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = _candidates(members, percent, cross=True).select("a", "b").join(known, ["a", "b"], "left_anti").checkpoint()
-    found = _verified(more, docs, nodes, n, percent)
+    found = _verified(more, docs, n, percent)
     if found.limit(1).count():
         classes = connected(links.unionByName(found))
-    labelled = nodes.select("node", "rep").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    least = labelled.groupBy("class").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("least"))
-    ids = labelled.join(least, "class").select("node", F.col("least.rep").alias("component_id"), (F.col("node") == F.col("least.node")).alias("_first"))
-    # rows of one set meet only through its node; the empty set stands alone
-    alone = rows.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", F.lit(True).alias("keeps"))
-    keeps = F.col("_first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return rows.where(F.col("node").isNotNull()).join(ids, "node").select("doc_id", "n_shingles", "component_id", "node", keeps.alias("keeps")).unionByName(alone)
+    labelled = nodes.select("high", "low", "node", "best").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    least = labelled.groupBy("class").agg(F.min("best").alias("least"))
+    return rows, labelled.join(least, "class").select("high", "low", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("row"), F.col("least.size").alias("size"))
 
 
 def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id of the class) for each row."""
-    return _classed_rows(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+    rows, sets = _classed_rows(docs, n, percent)
+    # the empty set stands alone
+    alone = rows.where(F.col("high").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.where(F.col("high").isNotNull()).join(sets.drop("row", "size"), ["high", "low"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def _with_nodes(docs: DataFrame, n: int) -> DataFrame:
-    """The rows with their node as ``_keep_node``, null without words."""
-    text = docs.columns.index("text")
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each class, with its own columns: the first in the table of those of the smallest id. Wordless texts all stay."""
+    rows, sets = _classed_rows(docs, n, percent)
+    folder = sidecar.new_folder(docs.sparkSession, "ngram-kept")
+    dealt_rows(sets.select("row", "size").distinct().unionByName(rows.where(F.col("high").isNull()).select("row", "size")), folder)
+    text = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(text), BLOCK):
-                nodes = pa.array([node_of(s) if len(s) else None for s in document_sets(block, n)], pa.int64())
-                part = batch.slice(block.rows.start, block.size)
-                yield pa.RecordBatch.from_arrays([*part.columns, nodes], names=[*part.schema.names, "_keep_node"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_keep_node", LongType())]))
-
+        mine = Dealt(folder)
+        for batch, number in numbered(batches):
+            places = mine.among(number, batch.column(text))
+            if len(places):
+                yield batch.take(pa.array(places))
 
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each class, that of the smallest id, with its own columns; wordless texts all stay.
-
-    An id that one row has decides on that row. Rows of null and repeated ids are told apart by their
-    nodes; of rows with one id and one set, one stays.
-    """
-    marks = _classed_rows(docs, n, percent).select("doc_id", "node", "keeps").checkpoint()
-    per_id = marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.bool_and("keeps").alias("_keeps"))
-    gone = per_id.where("_n = 1 and not _keeps").select("doc_id")
-    many = per_id.where("_n > 1").select("doc_id").checkpoint()
-    some_null = bool(marks.where("doc_id is null").limit(1).count())
-    if many.isEmpty() and not some_null:
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    named = docs.where("doc_id is not null")
-    clear = named.join(gone.unionByName(many), "doc_id", "left_anti").select(docs.columns)
-    unclear = _with_nodes(named.join(many, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null")), n)
-    wordless = unclear.where("_keep_node is null").select(docs.columns)
-    # one row for each id and set before they meet, so that no set is hot there
-    single = unclear.where("_keep_node is not null").dropDuplicates(["doc_id", "_keep_node"])
-    first = marks.where("keeps and node is not null").select(F.col("doc_id").alias("_keep_id"), F.col("node").alias("_keep_of")).distinct()
-    met = (F.col("_keep_node") == F.col("_keep_of")) & F.col("doc_id").eqNullSafe(F.col("_keep_id"))
-    return clear.unionByName(single.join(first, met, "left_semi").select(docs.columns)).unionByName(wordless)
+    return docs.mapInArrow(run, docs.schema)

@@ -477,9 +477,10 @@ def test_verdicts_follow_from_the_cutoffs(spark):
     assert {got[i]["kept"] for i in range(1200)} == {True, False} and all(got[i]["kept"] for i in range(2400, 2600))
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 60)])
-def test_ngram_join(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "most"), [(4, 85, 4096), (5, 80, 3), (2, 60, 2)])
+def test_ngram_join(spark, monkeypatch, n, percent, most):
     queries.prepare(spark)
+    monkeypatch.setattr(ngram_join, "MOST_MEMBERS", most)
     rng = random.Random(n)
     pool = [f"w{i}" for i in range(400)]
     texts = []
@@ -509,7 +510,7 @@ def test_ngram_join(spark, n, percent):
             if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
                 a, b = sorted((top(x), top(y)))
                 parent[b] = a
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_classes(df, n, percent).collect()}
     assert got == {k: (len(s), top(k)) for k, s in sets.items()}
 
@@ -522,7 +523,10 @@ def test_ngram_join_edges(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "6", "7", "8", "9", "None"]
-    assert ngram_join.join_classes(docs.limit(0), 4, 85).count() == 0
+    assert ngram_join.join_classes(docs.limit(0), 4, 85).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
+    for kind in ("int", "string"):
+        other = {r["doc_id"]: r["component_id"] for r in ngram_join.join_classes(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), 4, 85).collect()}
+        assert {str(k): str(v) for k, v in other.items()} == {str(k): str(v) for k, v in by_id.items()}
 
 
 def test_keep_one_decides_by_row(spark):
@@ -535,7 +539,7 @@ def test_keep_one_decides_by_row(spark):
         (4, text[4]), (4, near[4]), (4, text[4]),
         (None, text[5]), (None, near[5]), (None, text[5]),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).checkpoint()
     kept = [tuple(r) for r in ngram_join.keep_one(df).collect()]
     for row in [(1, text[0]), (None, text[1]), (None, None), (None, " "), (2, text[2]), (3, text[3])]:
         assert kept.count(row) == 1
