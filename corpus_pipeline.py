@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import mixing, ngram_join, packing, quality_classifier, quality_rules
+from graphloom.llm import mixing, ngram_join, packing, quality_classifier, quality_rules, sidecar
 from graphloom.llm.queries import RANKS, TOKENIZER, crc_of_id, prepare, table
 
 
@@ -19,8 +18,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the risk-controlled cutoffs."""
-    return quality_rules.keep_documents(docs, table(spark, sf_dir, "labels"))
+    """Documents that pass the base rule and the risk-controlled cutoffs, certified on labels the classifier never saw."""
+    return quality_rules.keep_documents(docs, table(spark, sf_dir, "labels").where(crc_of_id(3) == 1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +43,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [("quality classifier", classify), ("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("packing", pack)]
 
-#: Training, certified cutoffs and the packer's state have no SQL form; tests hold the stages against brute force.
+#: Training, certified cutoffs and the packer's state have no SQL form; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what passes between them lies as Parquet in the checkpoint folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = sidecar.new_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
