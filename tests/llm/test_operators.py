@@ -653,21 +653,6 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(pages, str(tmp_path / "big"), least_revisit=1)).where("record_type = 'revisit' and payload_bytes = 0").count() == 0
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, "/root/testdata/sf0.001")
-        assert after.columns == docs.columns
-        docs = after.checkpoint()
-    kept = docs.groupBy("doc_id").count().collect()
-    assert 0 < len(kept) < 200 and max(r["count"] for r in kept) <= 3
-    empty = queries.table(spark, "/root/testdata/sf0.001", "documents").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
-
-
 def test_word_hashes_depend_on_the_bytes_alone():
     rng = random.Random(4)
     texts = ["".join(rng.choice("abü") for _ in range(rng.choice((1, 2, 7, 8, 9, 16, 17, 127, 128, 129, 400)))) for _ in range(300)]
