@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import sidecar
 from graphloom.llm.textblocks import blocks
 
-MOST_OPEN, FAN = 4096, 16
+MOST_OPEN, FAN = 4096, 4
 SPECIAL = "<|endoftext|>"
 #: Code points below this are classed alike by every Unicode version that the two libraries use.
 _BEYOND = re.compile("[^\x00-ɏ]")

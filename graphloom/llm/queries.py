@@ -23,6 +23,11 @@ def prepare(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or "/tmp/checkpoints/graphloom")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows to an Arrow batch than Spark's 10,000, for long texts pass whole through several stages' workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -46,4 +46,4 @@ def dealt_to(folder: str, scan: int | None = None) -> pa.Table | None:
     path = f"{root}/scan={TaskContext.get().partitionId() if scan is None else scan}"
     if files.get_file_info(path).type.name == "NotFound":
         return None
-    return pq.read_table(path, filesystem=files, partitioning=None)
+    return pq.read_table(path, filesystem=files, partitioning=None, use_threads=False, pre_buffer=False)

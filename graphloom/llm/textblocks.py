@@ -148,6 +148,9 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield Block(slice(i, j), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
+    # workers live long: what a batch needed goes back before the next one comes
+    del data
+    pa.default_memory_pool().release_unused()
 
 
 def same_as_earlier(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
