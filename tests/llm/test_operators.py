@@ -337,7 +337,7 @@ def test_packing_in_groups(spark, monkeypatch, most_open):
     assert all(n == 64 or n & (n - 1) == 0 for n in lengths.values())
     for doc in parts.values():
         assert sum(n for _, n, _ in doc) == doc[0][2]
-    assert len(parts) == 300 and sum(n < 64 for n in lengths.values()) <= 2 * 6 * (1 if most_open > 1 else 300)
+    assert len(parts) == 300 and sum(n < 64 for n in lengths.values()) <= 6 * -(-20 // packing.FAN) * (1 if most_open > 1 else 300)
 
 
 def test_chat(spark):
