@@ -38,8 +38,6 @@ def lanes(events: DataFrame) -> DataFrame:
     return started.join(ended, ["slot", "id"], "left").where("_done is null or _done < seq").select("slot", "id")
 
 
-def progress(events: DataFrame, partition: list[str]) -> DataFrame:
-    """Running totals of tasks announced and done, within ``partition``."""
-    total = running(events, (F.col("event") == "Pending").cast("long"), partition)
-    done = running(events, (F.col("event") == "Done").cast("long"), partition)
-    return events.select("seq", total.alias("total"), done.alias("done"))
+def progress(events: DataFrame) -> DataFrame:
+    """Running totals of tasks announced and done, over all events."""
+    return running(events, {"total": F.col("event") == "Pending", "done": F.col("event") == "Done"}).select("seq", "total", "done")

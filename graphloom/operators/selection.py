@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 class SelectorError(ValueError):
@@ -54,6 +53,8 @@ def normalize_package(package: str, selector: str, base: str = "") -> str:
     """A package from the root; ``..`` may not leave it."""
     if package.startswith("//"):
         parts, package = [], package[2:]
+        if package.startswith("/"):
+            raise SelectorError(f"{selector}: a package does not begin with / after //")
     elif package.startswith("/"):
         raise SelectorError(f"{selector}: a package begins with // or is relative")
     else:
@@ -141,12 +142,13 @@ def select_labels(labels: DataFrame, selectors: list[str], handlers: DataFrame |
     found = labels.withColumn("_at", ordinal(selectors, base)).where("_at is not null")
     if handlers is not None:
         found = found.join(handlers.where(F.col("goal") == goal).select("id").distinct(), "id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("_at", "address"))
-    return found.withColumn("_n", first).where("_n = 1").select("id", "address")
+    return found.groupBy("id").agg(F.min_by("address", F.struct("_at", "address")).alias("address"))
 
 
 def changed_scope(changed: DataFrame, labels: DataFrame, selectors: list[str], base: str = "") -> DataFrame:
-    """Changed addresses within the patterns; an alias that matches stands for its primary address."""
+    """Changed addresses within the patterns (all, if there are none); an alias that matches stands for its primary address."""
+    if not selectors:
+        return changed.select("address").distinct()
     primary = labels.where("is_primary").select("id", F.col("address").alias("primary"))
     through = labels.where(any_of(selectors, base)).join(primary, "id").select(F.col("primary").alias("address"))
     return changed.where(any_of(selectors, base)).select("address").unionByName(changed.join(through, "address", "left_semi").select("address")).distinct()

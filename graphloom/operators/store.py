@@ -29,8 +29,12 @@ def hits(calls: DataFrame, keys: list[str]) -> DataFrame:
 
     The first of each key comes from an aggregate and a join that can split hot keys.
     """
-    first = calls.groupBy(*keys).agg(F.min("seq").alias("_first"))
-    return calls.join(first, keys).withColumn("result", F.when(F.col("seq") == F.col("_first"), "miss").otherwise("hit")).drop("_first")
+    first = calls.groupBy(*keys).agg(F.min("seq").alias("_first")).select(F.col("_first"), *(F.col(k).alias(f"_first_{k}") for k in keys))
+    same = F.lit(True)
+    for k in keys:
+        # equal nulls are one key
+        same = same & F.col(k).eqNullSafe(F.col(f"_first_{k}"))
+    return calls.join(first, same).withColumn("result", F.when(F.col("seq") == F.col("_first"), "miss").otherwise("hit")).drop("_first", *(f"_first_{k}" for k in keys))
 
 
 def upsert(events: DataFrame) -> DataFrame:
@@ -96,8 +100,32 @@ def merge_config(settings: DataFrame) -> DataFrame:
     return latest(cleared.where("_reset is null or seq > _reset").drop("_reset"), ["namespace", "path"], ["seq"]).select("namespace", "path", "value")
 
 
-def running(events: DataFrame, delta: Column, partition: list[str]) -> Column:
-    return F.sum(delta).over(Window.partitionBy(*partition).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+#: Rows of a run of ``seq``, within which a running sum is one window.
+RUN = 65_536
+
+
+def running(events: DataFrame, delta: dict[str, Column], partition: list[str] = ()) -> DataFrame:
+    """``events`` and, for each name of ``delta``, its running sum in the order of ``seq`` within ``partition``.
+
+    ``seq`` is cut into runs of ``RUN`` numbers. A run's rows are one window, and so are the sums of the runs
+    before it, a row each: no window grows with the rows of a hot partition.
+    """
+    keys = [*partition, "_run"]
+    rows = events.withColumns({**{f"_d_{n}": d.cast("long") for n, d in delta.items()}, "_run": F.floor(F.col("seq") / RUN)})
+    runs = rows.groupBy(*keys).agg(*(F.sum(f"_d_{n}").alias(f"_s_{n}") for n in delta))
+    earlier = Window.partitionBy(*partition).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = runs.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in delta))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    inside = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(before, same)
+    return joined.select(*events.columns, *((F.col(f"_b_{n}") + F.sum(f"_d_{n}").over(inside)).alias(n) for n in delta))
+
+
+def effective(asked: Column, configured: Column, default: int = 1) -> Column:
+    """A count that was asked for (1 at least), else the configured one as it is, else the default."""
+    return F.coalesce(F.when(asked.isNotNull(), F.greatest(asked, F.lit(1))), configured, F.lit(default)).cast("long")
 
 
 def lock_resolve(requests: DataFrame, files: DataFrame) -> DataFrame:

@@ -20,12 +20,20 @@ def with_directories(tree: DataFrame) -> DataFrame:
 
 
 def merge(trees: list[DataFrame]) -> DataFrame:
-    """The union of trees; of equal files the first tree's row stays. Conflicts are in ``conflicts``."""
+    """The union of trees; of equal files the first tree's row stays. Different contents of a path raise, as does a file that is a directory elsewhere."""
     rows = None
     for i, tree in enumerate(trees):
         one = tree.select("path", "digest", "size", F.lit(i).alias("_at"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("path").agg(F.min_by(F.struct("digest", "size"), "_at").alias("x")).select("path", "x.digest", "x.size")
+    # a file that another tree has files under meets them at its own path; only files have digests
+    above = F.expr("transform(sequence(1, size(split(path, '/')) - 1), n -> array_join(slice(split(path, '/'), 1, n), '/'))")
+    under = rows.where(F.size(F.split("path", "/")) > 1).select(F.explode(above).alias("path")).distinct()
+    every = rows.unionByName(under.select("path", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("size"), F.lit(-1).alias("_at")))
+    held = F.col("_at") >= 0
+    merged = every.groupBy("path").agg(F.min_by(F.struct("digest", "size"), F.when(held, F.col("_at"))).alias("x"), F.count_distinct("digest").alias("_n"), F.bool_or(held).alias("_file"), F.bool_or(~held).alias("_dir"))
+    wrong = (F.col("_n") > 1) | F.col("_dir")
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("the trees differ at "), F.col("path")))).otherwise(F.col("x"))
+    return merged.where("_file").withColumn("x", checked).select("path", "x.digest", "x.size")
 
 
 def conflicts(trees: list[DataFrame]) -> DataFrame:

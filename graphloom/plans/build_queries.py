@@ -34,14 +34,20 @@ def sel_recursive(targets):
     return targets.where(selection.parse("//asia/...").matches()).select("address", "kind")
 
 
-@query("SELECT address, kind FROM {targets} WHERE address = '//asia/china:cust7' OR address = '//europe/france:cust3'", "targets")
+def _first_nation(targets):
+    return targets.agg(F.min("package")).first()[0]
+
+
+@query("SELECT address, kind FROM {targets} WHERE address IN (SELECT min(address) FROM {targets} UNION ALL SELECT max(address) FROM {targets})", "targets")
 def sel_exact(targets):
-    return targets.where(selection.any_of(["//asia/china:cust7", "//europe/france:cust3"])).select("address", "kind")
+    ends = targets.agg(F.min("address"), F.max("address")).first()
+    return targets.where(selection.any_of([*ends, "//no/such:one"])).select("address", "kind")
 
 
-@query("SELECT address, kind FROM {targets} WHERE package = 'europe/france'", "targets")
+@query("SELECT address, kind FROM {targets} WHERE package = (SELECT min(package) FROM {targets})", "targets")
 def sel_package(targets):
-    return targets.where(selection.parse("../france", "europe/germany").matches()).select("address", "kind")
+    region, nation = _first_nation(targets).split("/")
+    return targets.where(selection.parse(f"../{nation}", f"{region}/elsewhere").matches()).select("address", "kind")
 
 
 @query("SELECT address, handle_id FROM {graph_roots} WHERE address LIKE '//parts/%' AND NOT is_default", "graph_roots")
@@ -178,9 +184,15 @@ def topo_waves(replies):
     return closure.levels(nodes, replies)
 
 
-@query("SELECT id FROM (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) AS t(id)", "imports")
-def cycle_graph(imports):
-    return closure.on_cycles(imports.where("src <> dst"))
+_CROSSED = "SELECT p_partkey AS src, p_partkey + CASE WHEN p_partkey % 5 = 4 THEN -3 ELSE 1 END AS dst FROM {part} UNION ALL SELECT p_partkey, p_partkey + 2 FROM {part} WHERE p_partkey % 5 = 2"
+
+
+@query(f"WITH RECURSIVE e AS ({_CROSSED}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst AND e.src - r.src BETWEEN -10 AND 10) SELECT DISTINCT src AS id FROM r WHERE src = dst", "part")
+def cycle_graph(part):
+    # chains of parts with a way back in every five; some nodes lie between cycles only
+    key = F.col("p_partkey")
+    edges = part.select(key.alias("src"), (key + F.when(key % 5 == 4, -3).otherwise(1)).alias("dst"))
+    return closure.on_cycles(edges.unionByName(part.where("p_partkey % 5 = 2").select(key.alias("src"), (key + 2).alias("dst"))))
 
 
 @query("SELECT dst AS callee, list_aggregate(list_sort(list(src)), 'string_agg', ',') AS callers FROM {replies} GROUP BY dst", "replies")
@@ -259,7 +271,9 @@ def tree_diff(before, after):
 
 @query("SELECT path, arg_min(digest, turn) AS digest, arg_min(size, turn) AS size FROM (SELECT *, 0 AS turn FROM {tree_before} UNION ALL SELECT *, 1 FROM {tree_after}) GROUP BY path", "tree_before", "tree_after")
 def tree_merge(before, after):
-    return trees.merge([before, after])
+    # what differs is taken from the first; trees that differ raise
+    other = after.join(trees.conflicts([before, after]), "path", "left_anti")
+    return trees.merge([before, other])
 
 
 @query("SELECT path FROM {tree_before} JOIN {tree_after} a USING (path) WHERE tree_before.digest <> a.digest", "tree_before", "tree_after")
@@ -438,15 +452,15 @@ def ev_lanes(rows):
     return events.lanes(rows)
 
 
-@query("SELECT seq, CAST(count(*) FILTER (WHERE event = 'Pending') OVER w AS BIGINT) AS total, CAST(count(*) FILTER (WHERE event = 'Done') OVER w AS BIGINT) AS done FROM {task_events} WINDOW w AS (PARTITION BY id ORDER BY seq)", "task_events")
+@query("SELECT seq, CAST(count(*) FILTER (WHERE event = 'Pending') OVER w AS BIGINT) AS total, CAST(count(*) FILTER (WHERE event = 'Done') OVER w AS BIGINT) AS done FROM {task_events} WINDOW w AS (ORDER BY seq)", "task_events")
 def ev_progress(rows):
-    return events.progress(rows, ["id"])
+    return events.progress(rows)
 
 
 @query("SELECT seq, CAST(sum(CASE event WHEN 'Pending' THEN 1 WHEN 'Done' THEN -1 ELSE 0 END) OVER (PARTITION BY slot ORDER BY seq) AS BIGINT) AS outstanding FROM {task_events}", "task_events")
 def ev_outstanding(rows):
     change = F.when(F.col("event") == "Pending", 1).when(F.col("event") == "Done", -1).otherwise(0)
-    return rows.select("seq", store.running(rows, change, ["slot"]).alias("outstanding"))
+    return store.running(rows, {"outstanding": change}, ["slot"]).select("seq", "outstanding")
 
 
 @query("SELECT id, max(seq) - min(seq) AS pushed FROM {task_events} GROUP BY id", "task_events")

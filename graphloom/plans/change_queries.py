@@ -152,7 +152,7 @@ def gc_age_days(customer):
 @query("SELECT slot, CAST(max(n) AS BIGINT) AS most FROM (SELECT slot, sum(CASE event WHEN 'Running' THEN 1 WHEN 'Done' THEN -1 ELSE 0 END) OVER (PARTITION BY slot ORDER BY seq) AS n FROM {task_events}) GROUP BY slot", "task_events")
 def ev_slots(rows):
     change = F.when(F.col("event") == "Running", 1).when(F.col("event") == "Done", -1).otherwise(0)
-    return rows.select("slot", store.running(rows, change, ["slot"]).alias("n")).groupBy("slot").agg(F.max("n").alias("most"))
+    return store.running(rows, {"n": change}, ["slot"]).groupBy("slot").agg(F.max("n").alias("most"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-z]{8,}'))), ',') AS found FROM {documents}", "documents")
@@ -190,10 +190,10 @@ def config_merge(part):
     return store.merge_config(part.select(F.col("p_brand").alias("namespace"), F.col("p_type").alias("path"), value.alias("value"), F.col("p_partkey").alias("seq")))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN greatest(c_custkey % 7, 1) ELSE coalesce(nullif(c_nationkey, 0), 1) END AS jobs FROM {customer}", "customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN greatest(c_custkey % 7 - 1, 1) WHEN c_nationkey <> 4 THEN c_nationkey ELSE 1 END AS jobs FROM {customer}", "customer")
 def config_effective(customer):
     key = F.col("c_custkey")
-    return customer.select("c_custkey", F.coalesce(F.when(key % 3 == 0, F.greatest(key % 7, F.lit(1))), F.nullif("c_nationkey", F.lit(0)), F.lit(1)).alias("jobs"))
+    return customer.select("c_custkey", store.effective(F.when(key % 3 == 0, key % 7 - 1), F.when(F.col("c_nationkey") != 4, F.col("c_nationkey").cast("long"))).alias("jobs"))
 
 
 @query("SELECT * FROM {lock_new}", "lock_new")

@@ -11,3 +11,25 @@ def test_multiplicity_counts_paths_of_any_length(spark):
     assert closure.multiplicity(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="cycle"):
         closure.multiplicity(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"))
+
+
+def pairs(spark, rows):
+    return spark.createDataFrame(rows, "src long, dst long")
+
+
+def test_on_cycles_leaves_out_what_lies_between(spark):
+    edges = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (5, 6), (7, 7), (8, 9), (9, 10), (10, 8), (10, 11), (11, 9), (12, 1)]
+    assert {r["id"] for r in closure.on_cycles(pairs(spark, edges)).collect()} == {1, 2, 4, 5, 7, 8, 9, 10, 11}
+    assert closure.on_cycles(pairs(spark, [(1, 2), (2, 3)])).count() == 0
+
+
+def test_levels_of_a_cycle_end(spark):
+    df = pairs(spark, [(1, 2), (2, 3), (3, 1)])
+    with pytest.raises(ValueError, match="cycle"):
+        closure.levels(df.selectExpr("src as id"), df)
+
+
+def test_reachable_over_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(closure, "COMPACT", 3)
+    df = pairs(spark, [(i, i + 1) for i in range(12)] + [(12, 3)])
+    assert {r["id"] for r in closure.reachable(df, spark.range(2, 3)).collect()} == set(range(2, 13))
