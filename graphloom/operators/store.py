@@ -123,6 +123,31 @@ def running(events: DataFrame, delta: dict[str, Column], partition: list[str] =
     return joined.select(*events.columns, *((F.col(f"_b_{n}") + F.sum(f"_d_{n}").over(inside)).alias(n) for n in delta))
 
 
+def lock_verify(downloads: DataFrame, lock: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``verified``: the download's ``sha256`` and ``size`` are the locked ones, of those that are locked; null without a lock."""
+    locked = lock.select(*keys, F.col("sha256").alias("_sha256"), F.col("size").alias("_size"), F.lit(True).alias("_locked"))
+    right = lambda c: F.col(f"_{c}").isNull() | F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return downloads.join(locked, keys, "left").select(*keys, F.when(F.col("_locked"), right("sha256") & right("size")).alias("verified"))
+
+
+def modes(targets: DataFrame, profiles: DataFrame, axes: dict[str, str], overrides: dict[str, str]) -> DataFrame:
+    """``address``, ``axis``, ``value``: the override of an axis, else what the target's last profile sets, else the default.
+
+    ``profiles``: ``address``, ``axis``, ``value``, ``seq``. ``axes`` (with defaults) and ``overrides`` are declared by name.
+    """
+    last = profiles.groupBy("address", "axis").agg(F.max_by("value", "seq").alias("_profile"))
+    of = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.lit(d).alias("default"), F.lit(overrides.get(a)).cast("string").alias("asked")) for a, d in axes.items())))
+    every = targets.select("address", of.alias("a")).select("address", "a.*")
+    return every.join(last, ["address", "axis"], "left").select("address", "axis", F.coalesce("asked", "_profile", "default").alias("value"))
+
+
+def empty_containers(containers: DataFrame, entries: DataFrame) -> DataFrame:
+    """``path`` of containers (folders of scopes or names) with nothing below them."""
+    above = F.expr("transform(sequence(1, size(split(path, '/')) - 1), n -> array_join(slice(split(path, '/'), 1, n), '/'))")
+    held = entries.where(F.col("path").contains("/")).select(F.explode(above).alias("path")).distinct()
+    return containers.select("path").distinct().join(held, "path", "left_anti")
+
+
 def effective(asked: Column, configured: Column, default: int = 1) -> Column:
     """A count that was asked for (1 at least), else the configured one as it is, else the default."""
     return F.coalesce(F.when(asked.isNotNull(), F.greatest(asked, F.lit(1))), configured, F.lit(default)).cast("long")

@@ -58,6 +58,24 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.where("_dir = ''").unionByName(rows.join(shared, "_dir", "left_semi").select("path", "change", "_dir")).select("path", "change")
 
 
+def digests(tree: DataFrame) -> DataFrame:
+    """``path``, ``digest`` of every directory (the root's path is empty), from the leaves upward.
+
+    A directory's digest is the SHA-256 of its sorted entries (name, kind, digest), so equal contents have equal
+    digests wherever they lie. One pass for each depth; the entries of a level are grouped by directory.
+    """
+    level = tree.select("path", F.lit("file").alias("kind"), "digest")
+    deepest = level.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
+    found = None
+    for depth in range(deepest, 0, -1):
+        entries = level.where(F.size(F.split("path", "/")) == depth)
+        entry = F.struct(F.substring_index("path", "/", -1).alias("name"), "kind", "digest")
+        of = entries.groupBy(parent(F.col("path")).alias("path")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(entry))), 256).alias("digest")).checkpoint()
+        found = of if found is None else found.unionByName(of)
+        level = level.where(F.size(F.split("path", "/")) < depth).unionByName(of.select("path", F.lit("dir").alias("kind"), "digest"))
+    return found if found is not None else tree.select("path", "digest").limit(0)
+
+
 def listing(tree: DataFrame) -> DataFrame:
     """Paths with their place in per-level byte order (``a/b`` before ``a.txt``)."""
     return tree.select("path", F.split("path", "/").alias("parts")).orderBy("parts").select("path")

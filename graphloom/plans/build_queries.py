@@ -498,18 +498,6 @@ def lock_merge(lock, new):
     return store.lock_merge(lock, new)
 
 
-@query("SELECT DISTINCT l.tool, l.version, CASE WHEN n.url IS NULL THEN 'unlocked platform' ELSE 'ok' END AS reason, l.platform FROM {lock} l LEFT JOIN {lock_new} n USING (tool, version, platform)", "lock", "lock_new")
-def lock_resolve(lock, new):
-    found = new.select("tool", "version", "platform", F.lit(True).alias("_found"))
-    return lock.join(found, ["tool", "version", "platform"], "left").select("tool", "version", F.when(F.col("_found"), "ok").otherwise("unlocked platform").alias("reason"), "platform")
-
-
-@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 'axis' END, CASE WHEN c_custkey % 3 = 0 THEN 'profile' END, 'default') AS mode FROM {customer}", "customer")
-def mode_resolve(customer):
-    key = F.col("c_custkey")
-    return customer.select("c_custkey", F.coalesce(F.when(key % 5 == 0, "axis"), F.when(key % 3 == 0, "profile"), F.lit("default")).alias("mode"))
-
-
 @query("SELECT l_orderkey, list_aggregate(list_sort(list(l_partkey)), 'string_agg', ',') AS parts FROM {lineitem} GROUP BY l_orderkey", "lineitem")
 def build_edits(lineitem):
     return lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("l_partkey")), ",").alias("parts"))

@@ -65,11 +65,6 @@ def changed_targets(targets):
     return changes.reasons([("module", targets.where("id % 4 = 0")), ("input", targets.where("id % 6 = 0"))])
 
 
-@query("SELECT DISTINCT o_custkey AS target FROM orders WHERE o_orderkey % 100 = 0", "orders")
-def owners_of_change(orders):
-    return orders.where("o_orderkey % 100 = 0").select(F.col("o_custkey").alias("target")).distinct()
-
-
 @query(f"SELECT path FROM {{tree_after}} WHERE path IN {_CHANGED} OR regexp_replace(path, '/[^/]*$', '') IN (SELECT 'de/src1')", "tree_before", "tree_after")
 def generated_changed(before, after):
     entries = _changed(before).unionByName(before.sparkSession.range(1).select(F.lit("de/src1").alias("path")))
@@ -178,12 +173,6 @@ def log_attribute(documents):
     return documents.groupBy("lang").agg(F.bool_or(marked).alias("failed"), F.count_if(marked).alias("messages"))
 
 
-@query("SELECT b.path FROM {tree_before} b WHERE split_part(path, '/', 3) IN (SELECT CAST(s_suppkey AS VARCHAR) FROM {supplier})", "tree_before", "supplier")
-def metadata_members(tree, supplier):
-    ids = supplier.select(F.col("s_suppkey").cast("string").alias("_id"))
-    return tree.withColumn("_id", F.split_part("path", F.lit("/"), F.lit(3))).join(ids, "_id", "left_semi").select("path")
-
-
 @query("SELECT p_brand AS namespace, p_type AS path, arg_max(CAST(p_size AS VARCHAR), p_partkey) AS value FROM {part} p WHERE p_partkey > (SELECT coalesce(max(q.p_partkey), -1) FROM {part} q WHERE q.p_brand = p.p_brand AND q.p_type = p.p_type AND q.p_partkey % 9 = 0) GROUP BY p_brand, p_type", "part")
 def config_merge(part):
     value = F.when(F.col("p_partkey") % 9 != 0, F.col("p_size").cast("string"))
@@ -201,11 +190,6 @@ def lock_rebuild(new):
     return new
 
 
-@query("SELECT l.tool, l.version, l.platform, l.url = n.url AS verified FROM {lock} l JOIN {lock_new} n USING (tool, version, platform)", "lock", "lock_new")
-def lock_verify(lock, new):
-    return lock.join(new.withColumnRenamed("url", "_new"), ["tool", "version", "platform"]).select("tool", "version", "platform", (F.col("url") == F.col("_new")).alias("verified"))
-
-
 @query("SELECT p_brand, p_type, p_size, count(*) AS n FROM {part} GROUP BY ALL HAVING count(*) > 1", "part")
 def catalog_validate(part):
     return part.groupBy("p_brand", "p_type", "p_size").agg(F.count("*").alias("n")).where("n > 1")

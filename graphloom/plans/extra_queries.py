@@ -28,14 +28,6 @@ def sel_normalize(tree):
     return tree.select("path", normalized(messy).alias("package"))
 
 
-@query("SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS folder, sha256(string_agg(split_part(path, '/', 3) || '=' || digest, ';' ORDER BY split_part(path, '/', 3))) AS digest FROM {tree_before} GROUP BY ALL", "tree_before")
-def tree_digest(tree):
-    entry = F.struct(F.split_part("path", F.lit("/"), F.lit(3)).alias("name"), "digest")
-    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat(e["name"], F.lit("="), e["digest"])), ";")
-    return tree.groupBy(folder).agg(F.sha2(line, 256).alias("digest"))
-
-
 @query("SELECT digest FROM {tree_before} WHERE starts_with(path, 'de/')", "tree_before")
 def tree_all(tree):
     return tree.where(F.col("path").startswith("de/")).select("digest")

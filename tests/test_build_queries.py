@@ -1,7 +1,7 @@
 import pytest
 from oracle import actual, expected
 
-from graphloom.plans import build_queries, change_queries, extra_queries, retention_queries, text_queries  # noqa: F401
+from graphloom.plans import build_queries, change_queries, extra_queries, graph_queries, retention_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
