@@ -35,6 +35,20 @@ def resolved(imports: DataFrame, collections: DataFrame) -> DataFrame:
     return rows.withColumn("target", F.when(at == 0, joined(F.col("path"), F.col("import"))).otherwise(named)).select(*imports.columns, "target")
 
 
+def scanned(code: Column) -> Column:
+    """Of sources whose comments are blanked: ``imports`` and ``collections`` (distinct, sorted), and whether a main procedure is there.
+
+    An import is ``import`` with a quoted path, alone or with a name, or a line of a parenthesised block.
+    """
+    single = F.regexp_extract_all(code, F.lit(r'(?m)^[ \t]*import[ \t]+(?:[A-Za-z_$][\w$]*[ \t]+)?"([^"]+)"'), 1)
+    blocks = F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*import[ \t]*\(([^)]*)\)"), 1)
+    inner = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r'"([^"]+)"'), 1)))
+    imports = F.array_sort(F.array_distinct(F.concat(single, inner)))
+    names = F.transform(F.filter(imports, lambda i: F.instr(i, ":") > 1), lambda i: F.substring_index(i, ":", 1))
+    main = F.regexp_like(code, F.lit(r"(?m)^\s*main\s*::\s*proc\s*\("))
+    return F.struct(imports.alias("imports"), F.array_sort(F.array_distinct(names)).alias("collections"), main.alias("has_main"))
+
+
 def inferred_paths(packages: DataFrame, sources: DataFrame) -> DataFrame:
     """``package``, ``path``: the declared folder if a source lies there or there are none, else the only one. Several raise."""
     folder = F.when(F.col("source").contains("/"), F.regexp_replace("source", "/[^/]*$", "")).otherwise(".")

@@ -24,8 +24,8 @@ def read_status(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return wanted.select("digest").distinct().join(held, "digest", "left").select("digest", F.when(F.col("_held"), "ok").otherwise("missing").alias("status"))
 
 
-def hits(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Calls and whether each is the first of its key (miss) or a later one (hit).
+def hits(calls: DataFrame, keys: list[str], keep_first: bool = False) -> DataFrame:
+    """Calls and whether each is the first of its key (miss) or a later one (hit); with ``keep_first``, that first's ``seq`` as ``_first``.
 
     The first of each key comes from an aggregate and a join that can split hot keys.
     """
@@ -34,7 +34,7 @@ def hits(calls: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         # equal nulls are one key
         same = same & F.col(k).eqNullSafe(F.col(f"_first_{k}"))
-    return calls.join(first, same).withColumn("result", F.when(F.col("seq") == F.col("_first"), "miss").otherwise("hit")).drop("_first", *(f"_first_{k}" for k in keys))
+    return calls.join(first, same).withColumn("result", F.when(F.col("seq") == F.col("_first"), "miss").otherwise("hit")).drop(*([] if keep_first else ["_first"]), *(f"_first_{k}" for k in keys))
 
 
 def upsert(events: DataFrame) -> DataFrame:
@@ -141,6 +141,33 @@ def modes(targets: DataFrame, profiles: DataFrame, axes: dict[str, str], overrid
     return every.join(last, ["address", "axis"], "left").select("address", "axis", F.coalesce("asked", "_profile", "default").alias("value"))
 
 
+def interned(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """``seq``, ``instance``: the first call with the same keys (nulls alike), or itself where it is not cached."""
+    shared = hits(calls.where("cache"), keys, keep_first=True).select("seq", F.col("_first").alias("instance"))
+    return shared.unionByName(calls.where("not cache").select("seq", F.col("seq").alias("instance")))
+
+
+def toolchain_defaults(instances: DataFrame, requests: DataFrame) -> DataFrame:
+    """``id``, ``version``, ``instance``, ``unverified`` of requests (``id``, ``tool``, ``version``).
+
+    ``instances``: ``tool``, ``version``, ``seq``, ``is_default``, ``unverified``. The last default instance gives the
+    version where none is asked for, and stands in for a version that nobody declares.
+    """
+    default = instances.where("is_default").groupBy("tool").agg(F.max_by(F.struct("version", "seq", "unverified"), "seq").alias("_d"))
+    exact = instances.groupBy("tool", F.col("version").alias("_v")).agg(F.max_by(F.struct("seq", "unverified"), "seq").alias("_e"))
+    rows = requests.join(default, "tool", "left").withColumn("_v", F.coalesce("version", "_d.version")).join(exact, ["tool", "_v"], "left")
+    return rows.select("id", F.col("_v").alias("version"), F.coalesce("_e.seq", "_d.seq").alias("instance"), F.coalesce(F.when(F.col("_e").isNotNull(), F.col("_e.unverified")).otherwise(F.col("_d.unverified")), F.lit(False)).alias("unverified"))
+
+
+def duplicate_handlers(attached: DataFrame) -> DataFrame:
+    """``label``, ``goal``, ``fn``, ``n`` of functions attached twice to a label's goal (an error for the caller)."""
+    return attached.groupBy("label", "goal", "fn").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def max_age_days(asked: Column, configured: Column) -> Column:
+    return F.coalesce(asked, configured, F.lit(30)).cast("long")
+
+
 def empty_containers(containers: DataFrame, entries: DataFrame) -> DataFrame:
     """``path`` of containers (folders of scopes or names) with nothing below them."""
     above = F.expr("transform(sequence(1, size(split(path, '/')) - 1), n -> array_join(slice(split(path, '/'), 1, n), '/'))")

@@ -347,11 +347,6 @@ def memo_hit_miss(table):
     return store.hits(table.select(F.col("event_id").alias("seq"), "event_type", "user_id"), ["event_type", "user_id"]).select("seq", "result")
 
 
-@query("SELECT DISTINCT event_type, user_id FROM {events}", "events")
-def task_intern(table):
-    return table.select("event_type", "user_id").distinct()
-
-
 @query("SELECT doc_id, CAST(30000 + CAST('0x' || substr(SHA(text), 1, 4) AS BIGINT) % 20000 AS BIGINT) AS port FROM {documents}", "documents")
 def worker_port(documents):
     return documents.select("doc_id", paths.worker_port(F.col("text")).alias("port"))
@@ -473,11 +468,6 @@ def ident_sanitize(part):
     return part.select("p_partkey", paths.identifier(F.col("p_name")).alias("name"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM {events}", "events")
-def jsonl_parse(table):
-    return table.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
 @query("SELECT DISTINCT path, bool_or(b) AS is_branch FROM (SELECT path, false AS b FROM {tree_before} UNION ALL SELECT split_part(path, '/', 1), true FROM {tree_before} UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), true FROM {tree_before}) GROUP BY path", "tree_before")
 def page_tree(tree):
     return paths.page_tree(tree)

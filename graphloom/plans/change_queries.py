@@ -139,22 +139,12 @@ def gc_undeclared(lock, declared):
     return gone.join(some, "_any", "left_semi").select("tool", "version")
 
 
-@query("SELECT c_custkey, coalesce(nullif(c_custkey % 40, 0), CASE WHEN c_nationkey > 5 THEN c_nationkey END, 30) AS days FROM {customer}", "customer")
-def gc_age_days(customer):
-    return customer.select("c_custkey", F.coalesce(F.nullif(F.col("c_custkey") % 40, F.lit(0)), F.when(F.col("c_nationkey") > 5, F.col("c_nationkey")), F.lit(30)).alias("days"))
-
-
 @query("SELECT slot, CAST(max(n) AS BIGINT) AS most FROM (SELECT slot, sum(CASE event WHEN 'Running' THEN 1 WHEN 'Done' THEN -1 ELSE 0 END) OVER (PARTITION BY slot ORDER BY seq) AS n FROM {task_events}) GROUP BY slot", "task_events")
 def ev_slots(rows):
     change = F.when(F.col("event") == "Running", 1).when(F.col("event") == "Done", -1).otherwise(0)
     return store.running(rows, {"n": change}, ["slot"]).groupBy("slot").agg(F.max("n").alias("most"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-z]{8,}'))), ',') AS found FROM {documents}", "documents")
-def scan_imports(documents):
-    return documents.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\b[A-Z][a-z]{8,})"), 1))), ",").alias("found"))
-
-
 @query("SELECT path FROM {tree_before} WHERE NOT contains(path, 'src1') AND ends_with(path, '3') AND NOT starts_with(path, 'es')", "tree_before")
 def codegen_scan(tree):
     path = F.col("path")
@@ -167,12 +157,6 @@ def section_of(tree):
     return tree.select("path", F.concat(F.upper(part(1)), F.lit(" > "), part(2)).alias("section"))
 
 
-@query("SELECT lang, bool_or(contains(text, '&&&')) AS failed, count(*) FILTER (WHERE contains(text, '&&&')) AS messages FROM {documents} GROUP BY lang", "documents")
-def log_attribute(documents):
-    marked = F.col("text").contains("&&&")
-    return documents.groupBy("lang").agg(F.bool_or(marked).alias("failed"), F.count_if(marked).alias("messages"))
-
-
 @query("SELECT p_brand AS namespace, p_type AS path, arg_max(CAST(p_size AS VARCHAR), p_partkey) AS value FROM {part} p WHERE p_partkey > (SELECT coalesce(max(q.p_partkey), -1) FROM {part} q WHERE q.p_brand = p.p_brand AND q.p_type = p.p_type AND q.p_partkey % 9 = 0) GROUP BY p_brand, p_type", "part")
 def config_merge(part):
     value = F.when(F.col("p_partkey") % 9 != 0, F.col("p_size").cast("string"))
@@ -195,21 +179,11 @@ def catalog_validate(part):
     return part.groupBy("p_brand", "p_type", "p_size").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("SELECT tool, arg_max(version, url) AS version FROM {lock} GROUP BY tool", "lock")
-def toolchain_default(lock):
-    return lock.groupBy("tool").agg(F.max_by("version", "url").alias("version"))
-
-
 @query("SELECT kind, count(DISTINCT tool) AS tools FROM {products} GROUP BY kind HAVING count(DISTINCT tool) > 1", "products")
 def kind_unique(products):
     return products.groupBy("kind").agg(F.count_distinct("tool").alias("tools")).where("tools > 1")
 
 
-@query("SELECT id, goal, count(*) AS n FROM (SELECT * FROM {handlers} UNION ALL SELECT * FROM {handlers} WHERE id % 6 = 0) GROUP BY ALL HAVING count(*) > 1", "handlers")
-def attach_dup(handlers):
-    return handlers.unionByName(handlers.where("id % 6 = 0")).groupBy("id", "goal").agg(F.count("*").alias("n")).where("n > 1")
-
-
 @query("SELECT o_orderkey, list_aggregate(list_sort(list(l_partkey || '/' || l_suppkey)), 'string_agg', ',') AS deps FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_orderkey", "orders", "lineitem")
 def hydrate(orders, lineitem):
     edge = F.concat_ws("/", "l_partkey", "l_suppkey")

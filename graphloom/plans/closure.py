@@ -40,6 +40,22 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_levels: int = 10_000) ->
     raise ValueError(f"no fixpoint after {most_levels} levels")
 
 
+def depths(edges: DataFrame, seeds: DataFrame, most_levels: int = 10_000) -> DataFrame:
+    """``id``, ``depth`` of all that ``seeds`` reach: the length of the shortest way, a batch for each depth."""
+    ensure_checkpoints(edges.sparkSession)
+    frontier = seeds.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    seen = [frontier]
+    for depth in range(1, most_levels):
+        step = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        frontier = step.join(_all(seen), "id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        if frontier.isEmpty():
+            return _all(seen)
+        seen.append(frontier)
+        if len(seen) >= COMPACT:
+            seen = [_all(seen).checkpoint()]
+    raise ValueError(f"no fixpoint after {most_levels} levels")
+
+
 def levels(nodes: DataFrame, edges: DataFrame, most_levels: int = 10_000) -> DataFrame:
     """``id``, ``level``: the longest path to each node (``dst`` depends on ``src``). Cycles raise.
 

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import changes, graphs, packages, schemas, staleness, store, trees
+from graphloom.operators import changes, graphs, logs, packages, schemas, staleness, store, trees
+from graphloom.plans import closure
 from graphloom.plans.build_queries import query
 
 _OLD = "path LIKE '%50' OR path LIKE '%7'"
@@ -277,3 +278,83 @@ def mode_resolve(targets):
 def metadata_members(tree, supplier):
     ids = supplier.select(F.col("s_suppkey").cast("string").alias("_id"), F.lit(True).alias("_member")).distinct()
     return tree.withColumn("_id", _place(tree, 3)).join(ids, "_id", "left").select("path", F.coalesce("_member", F.lit(False)).alias("member"))
+
+
+@query(
+    """SELECT event_id, 't' || user_id AS name, CASE WHEN event_id % 2 = 0 THEN 'lib' ELSE 'test' END AS kind, CASE WHEN event_id % 5 = 0 THEN 'elsewhere/x' ELSE 'target/debug/x' END AS path
+    FROM {events} WHERE event_type = 'click' AND event_id % 3 > 0""",
+    "events",
+)
+def jsonl_parse(table):
+    profile = F.concat(F.lit('"profile":{"test":'), F.when(F.expr("event_id % 3 > 0"), "true").otherwise("false"), F.lit("}"))
+    kinds = F.when(F.expr("event_id % 2 = 0"), '["lib","other"]').otherwise("[]")
+    path = F.when(F.expr("event_id % 5 = 0"), "elsewhere/x").otherwise("/w/target/debug/x")
+    reason = F.when(F.col("event_type") == "click", "compiler-artifact").otherwise(F.col("event_type"))
+    line = F.concat(F.lit('{"reason":"'), reason, F.lit('","executable":"'), path, F.lit('","target":{"name":"t'), F.col("user_id").cast("string"), F.lit('","kind":'), kinds, F.lit("},"), profile, F.lit("}"))
+    output = table.select("event_id", F.concat(F.lit("Compiling\n{broken\n"), line, F.lit('\n{"reason":"compiler-artifact","target":{"name":"no executable"},"profile":{"test":true}}\n')).alias("stdout"))
+    return logs.test_binaries(output, ["event_id"], "target/")
+
+
+@query(
+    """SELECT event_id, m AS member, CASE WHEN m = 'a' AND event_id % 2 = 0 OR m = 'b' AND event_id % 3 = 0 THEN 1 ELSE 0 END AS messages,
+      CASE WHEN m = 'a' THEN event_id % 2 = 0 ELSE event_id % 3 = 0 AND event_type = 'error' END OR (event_id % 5 = 0 AND event_id % 2 <> 0 AND NOT (event_id % 3 = 0 AND event_type = 'error')) AS fails
+    FROM {events}, (VALUES ('a'), ('b')) AS v(m)""",
+    "events",
+)
+def log_attribute(table):
+    def message(when, level, path):
+        said = F.concat(F.lit('{"reason":"compiler-message","message":{"level":"'), level, F.lit(f'","rendered":"x","spans":[{{"file_name":"{path}"}},{{"file_name":"{path}"}}]}}}}\n'))
+        return F.when(F.expr(when), said).otherwise("")
+
+    level = F.when(F.col("event_type") == "error", "error").otherwise("note")
+    output = table.select("event_id", F.concat(F.lit("text\n"), message("event_id % 2 = 0", F.lit("warning"), "crates/a/src/x.rs"), message("event_id % 3 = 0", level, "crates/b/y.rs")).alias("stdout"))
+    member = F.explode(F.array(*(F.struct(F.lit(m).alias("member"), F.lit(f"crates/{m}").alias("dir")) for m in "ab"))).alias("m")
+    members = table.select("event_id", member).select("event_id", "m.*")
+    return logs.lint_verdicts(output, members, "event_id", table.where("event_id % 5 = 0"))
+
+
+@query("SELECT doc_id, 'core:fmt,' || CASE WHEN doc_id % 2 = 0 THEN 'vendor:' || lang || ',' ELSE '' END || 'x/' || source AS imports, CASE WHEN doc_id % 2 = 0 THEN 'core,vendor' ELSE 'core' END AS collections, doc_id % 3 = 0 AS has_main FROM {documents}", "documents")
+def scan_imports(documents):
+    some = lambda when, then: F.when(F.expr(when), then).otherwise(F.lit(""))
+    code = F.concat(
+        F.lit('package p // import "no"\nimport "core:fmt"\n  import f "core:fmt"\n/* import "lost" */\nimport (\n  "x/'), F.col("source"), F.lit('"\n)\n'),
+        some("doc_id % 2 = 0", F.concat(F.lit('import v "vendor:'), F.col("lang"), F.lit('"\n'))), some("doc_id % 3 = 0", F.lit("main :: proc() {}\n")), some("doc_id % 3 = 1", F.lit("// main :: proc(\n")),
+    )
+    found = documents.select("doc_id", packages.scanned(F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ")).alias("s"))
+    return found.select("doc_id", F.array_join("s.imports", ",").alias("imports"), F.array_join("s.collections", ",").alias("collections"), "s.has_main")
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_id % 4 = 0 THEN event_id ELSE min(event_id) FILTER (WHERE event_id % 4 <> 0) OVER (PARTITION BY event_type, user_id) END AS instance FROM {events}", "events")
+def task_intern(table):
+    return store.interned(table.select(F.col("event_id").alias("seq"), "event_type", "user_id", F.expr("event_id % 4 <> 0").alias("cache")), ["event_type", "user_id"])
+
+
+@query(
+    """WITH i AS (SELECT p_brand AS tool, p_size AS version, p_partkey AS seq, p_partkey % 3 = 0 AS d FROM {part}), d AS (SELECT tool, arg_max(version, seq) AS version, max(seq) AS seq FROM i WHERE d GROUP BY tool),
+    e AS (SELECT tool, version, max(seq) AS seq FROM i GROUP BY ALL)
+    SELECT p_partkey AS id, coalesce(a.asked, d.version) AS version, coalesce(e.seq, d.seq) AS instance, coalesce(coalesce(e.seq, d.seq) % 2 = 0, false) AS unverified
+    FROM (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 4 > 1 THEN p_size + p_partkey % 2 * 100 END AS asked FROM {part}) a LEFT JOIN d ON d.tool = p_brand LEFT JOIN e ON e.tool = p_brand AND e.version = coalesce(a.asked, d.version)""",
+    "part",
+)
+def toolchain_default(part):
+    key = F.col("p_partkey")
+    instances = part.select(F.col("p_brand").alias("tool"), F.col("p_size").cast("long").alias("version"), key.alias("seq"), (key % 3 == 0).alias("is_default"), F.when(key % 2 == 0, True).alias("unverified"))
+    asked = F.when(key % 4 > 1, F.col("p_size") + key % 2 * 100).cast("long")
+    return store.toolchain_defaults(instances, part.select(key.alias("id"), F.col("p_brand").alias("tool"), asked.alias("version")))
+
+
+@query("SELECT l_orderkey AS label, l_returnflag AS goal, l_suppkey AS fn, count(*) AS n FROM {lineitem} GROUP BY ALL HAVING count(*) >= 2", "lineitem")
+def attach_dup(lineitem):
+    return store.duplicate_handlers(lineitem.select(F.col("l_orderkey").alias("label"), F.col("l_returnflag").alias("goal"), F.col("l_suppkey").alias("fn")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 9 WHEN c_nationkey > 5 THEN c_nationkey ELSE 30 END AS days FROM {customer}", "customer")
+def gc_age_days(customer):
+    key = F.col("c_custkey")
+    return customer.select("c_custkey", store.max_age_days(F.when(key % 4 == 0, key % 9), F.when(F.col("c_nationkey") > 5, F.col("c_nationkey").cast("long"))).alias("days"))
+
+
+@query("WITH RECURSIVE r AS (SELECT p_partkey AS id, 0 AS depth FROM {part} WHERE p_partkey % 40 = 7 UNION SELECT i.src, r.depth + 1 FROM r JOIN {imports} i ON i.dst = r.id WHERE r.depth < 30 AND i.src <> i.dst AND i.dst > 1) SELECT id, min(depth) AS depth FROM r GROUP BY id", "part", "imports")
+def fetch_levels(part, imports):
+    edges = imports.where("src <> dst and dst > 1").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return closure.depths(edges, part.where("p_partkey % 40 = 7").select(F.col("p_partkey").alias("id")))

@@ -42,3 +42,8 @@ def test_running_sums_over_runs(spark, monkeypatch):
 def test_only_what_is_asked_for_is_raised_to_one(spark):
     rows = spark.createDataFrame([(0, 5), (None, 0), (None, None), (3, 0)], "a long, c long")
     assert [r[0] for r in rows.select(store.effective(F.col("a"), F.col("c"))).collect()] == [1, 0, 1, 3]
+
+
+def test_interned_calls_share_the_first(spark):
+    calls = spark.createDataFrame([(1, None, True), (2, None, True), (3, "a", True), (4, "a", False), (5, "a", True)], "seq long, k string, cache boolean")
+    assert {r["seq"]: r["instance"] for r in store.interned(calls, ["k"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
