@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.multiplicity import multiplicity  # noqa: F401
 from graphloom.sources.session import ensure_checkpoints
 
 
@@ -126,22 +127,3 @@ def on_cycles(edges: DataFrame, most_levels: int = 10_000) -> DataFrame:
         gone = back
         left = peeled(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), most_levels)
     raise ValueError(f"no fixpoint after {most_levels} levels")
-
-
-def multiplicity(edges: DataFrame, most_levels: int = 10_000) -> DataFrame:
-    """``root``, ``leaf``, ``ways``: the number of paths from each node to each that it reaches, itself included.
-
-    Repeated edges count each. Each level carries the counts one edge on. Cycles raise.
-    """
-    ensure_checkpoints(edges.sparkSession)
-    edges = edges.select("src", "dst")
-    nodes = edges.select(F.col("src").alias("root")).unionByName(edges.select(F.col("dst").alias("root"))).where("root is not null").distinct()
-    every = level = nodes.select("root", F.col("root").alias("leaf"), F.lit(1).cast("long").alias("ways")).checkpoint()
-    # no path without a cycle has more edges than there are nodes
-    for _ in range(min(most_levels, nodes.count()) + 1):
-        step = level.join(edges.where("dst is not null"), F.col("leaf") == F.col("src"))
-        level = step.groupBy("root", F.col("dst").alias("leaf")).agg(F.sum("ways").alias("ways")).checkpoint()
-        if level.isEmpty():
-            return every.groupBy("root", "leaf").agg(F.sum("ways").alias("ways"))
-        every = every.unionByName(level)
-    raise ValueError("the graph has a cycle")
