@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import sidecar
-from graphloom.llm.textblocks import LOWER, Block, blocks, mix, word_hashes
+from graphloom.llm.textblocks import LOWER, Block, blocks, by_table, mix, word_hashes
 
 BLOCK = 3 << 20
 #: Bytes of text for each part of the hash space.
@@ -51,7 +51,7 @@ _END = mix(np.array([0x656E64], dtype=np.uint64))[0]
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the block's tokens, with each document's closing symbol, and where documents begin."""
-    data = LOWER[block.data]
+    data = by_table(block.data, LOWER)
     starts, ends, first = block.words(data)
     out = np.full(len(starts) + block.size, _END, dtype=np.uint64)
     out[np.arange(len(starts)) + np.repeat(np.arange(block.size), np.diff(first))] = word_hashes(data, starts, ends)
@@ -74,11 +74,21 @@ def _wide(values: bytes) -> np.ndarray:
 def _order(*keys: np.ndarray) -> np.ndarray:
     """Stable order by the first key, then the next: 16 bits at a time, for which numpy has a radix sort."""
     out = None
-    for key in reversed(keys):
-        most = int(key.max()) if len(key) else 0
-        for shift in range(0, max(1, most.bit_length()), 16):
-            digit = (key >> shift).astype(np.uint16)
-            out = np.argsort(digit, kind="stable") if out is None else out[np.argsort(digit[out], kind="stable")]
+    *first, last = keys
+    for key in reversed(first):
+        below, above = (int(k.max()).bit_length() if len(k) else 0 for k in (last, key))
+        if below + above > 63:
+            out, last = _by_digits(last, out), key
+        else:
+            last = key << below | last
+    return _by_digits(last, out)
+
+
+def _by_digits(key: np.ndarray, out: np.ndarray | None) -> np.ndarray:
+    most = int(key.max()) if len(key) else 0
+    for shift in range(0, max(1, most.bit_length()), 16):
+        digit = (key >> shift).astype(np.uint16)
+        out = np.argsort(digit, kind="stable") if out is None else out[np.argsort(digit[out], kind="stable")]
     return out
 
 

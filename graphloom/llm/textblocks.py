@@ -23,6 +23,13 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+
+
+def by_table(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[data]`` for 256 entries of a byte each, several times faster."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 _ODD = 0x9E3779B97F4A7C15
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -84,8 +91,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     left = ends - starts
     out = mix(left.astype(np.uint64) * np.uint64(_ODD) + (eight[starts] & _LOW[np.minimum(left, 8)]))
+    some = np.flatnonzero(left > 8)
     for done in range(8, _LONG, 8):
-        some = np.flatnonzero(left > done)
+        some = some[left[some] > done]
         if not len(some):
             break
         out[some] = mix(out[some] * _BASE + (eight[starts[some] + done] & _LOW[np.minimum(left[some] - done, 8)]))
@@ -110,7 +118,7 @@ class Block:
         """Starts and ends of the words, and the index of each document's first (one more at the end)."""
         data = self.data if data is None else data
         space = np.ones(len(data) + 2, dtype=bool)
-        space[1:-1] = SPACE[data]
+        space[1:-1] = by_table(data, SPACE)
         edges = np.flatnonzero(space[1:] != space[:-1])
         starts, ends = edges[::2], edges[1::2]
         # a document may begin right after the last word of the one before
