@@ -28,6 +28,8 @@ CHUNK_BITS = 20
 RANGE_NODES, PART_EDGES = 800_000, 1 << 20
 #: So many edges, list entries or bytes are worked on at a time.
 STEP = 1 << 20
+#: Bytes of packed rows that are read at a time.
+READ_STEP = 1 << 18
 #: Bytes of rows held back to be sent in larger messages.
 HELD = 24 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -164,12 +166,15 @@ def _column(folder: str, key: str, *names: str) -> list[pa.ChunkedArray] | None:
 
 
 def _rows(folder: str, part: int) -> Iterator[Iterator[pa.RecordBatch]]:
-    """For each file of a part its rows, in pieces of about ``STEP`` bytes."""
+    """For each file of a part its rows, in pieces of about ``READ_STEP`` bytes."""
     for file in _files(folder, f"part={part}"):
 
         def pieces(file: pq.ParquetFile = file) -> Iterator[pa.RecordBatch]:
-            for batch in file.iter_batches(batch_size=8192, columns=["chunk", "place", "leaves", "more"], use_threads=False):
-                size = np.cumsum(_bytes(batch.column(2))[1] + _bytes(batch.column(3))[1]) // STEP
+            groups = [file.metadata.row_group(i) for i in range(file.num_row_groups)]
+            widest = max((g.total_byte_size // max(1, g.num_rows) for g in groups), default=0)
+            at_once = min(8192, max(16, 4 * READ_STEP // (widest + 1)))
+            for batch in file.iter_batches(batch_size=at_once, columns=["chunk", "place", "leaves", "more"], use_threads=False):
+                size = np.cumsum(_bytes(batch.column(2))[1] + _bytes(batch.column(3))[1]) // READ_STEP
                 cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if b > a:
